@@ -37,18 +37,11 @@ def genotype_code(sample: Column, ref: Column, alts: Column) -> Column:
     REF text, ``alts`` the ALT texts. An allele stands for the first base of its
     text. Haploid, missing and out-of-range calls give 0, as do other letters.
     """
-    alleles = F.split(F.substring_index(sample, ":", 1), r"[/|]")
     bases = F.concat(F.array(ref), alts)
-
-    def base(i: int) -> Column:
-        # the index must be plain digits; try_cast alone would also take " 1" or "+1"
-        called = F.get(alleles, F.lit(i))
-        number = F.when(called.rlike(r"^[0-9]+$"), called).try_cast("int")
-        return F.substring(F.get(bases, number), 1, 1)
-
-    one, two = base(0), base(1)
-    pair = F.concat(F.least(one, two), F.greatest(one, two))
-    pair = F.when(one.isNotNull() & two.isNotNull(), pair)
+    called = F.slice(F.split(F.substring_index(sample, ":", 1), r"[/|]"), 1, 2)
+    letters = F.transform(called, lambda a: F.substring(F.get(bases, a.try_cast("int")), 1, 1))
+    # an unknown allele is left out by the join, so the text cannot be a pair
+    pair = F.array_join(F.array_sort(letters), "")
     order = F.array(*[F.lit(p) for p in GENOTYPE_PAIRS])
     return F.coalesce(F.array_position(order, pair), F.lit(0)).cast("tinyint")
 

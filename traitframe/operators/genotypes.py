@@ -14,6 +14,7 @@ from traitframe.constants import BROADCAST_ROWS, ONEHOT_BITS, SALTS
 from traitframe.functions.genome import onehot_position, sequence_name, strand_matches
 from traitframe.operators.joins import one_per_key, require_rows, sized_join
 from traitframe.operators.positions import sorted_positions
+from traitframe.session import stage
 
 BIN_WIDTH = 1 << 14
 LIST_CHUNK = 4096
@@ -62,7 +63,8 @@ def snps_in_genes(
 
 def snp_index(edges: DataFrame) -> DataFrame:
     """(snp_id, snp_idx): position of a matched SNP in the sorted list of SNP IDs."""
-    return sorted_positions(edges.select("snp_id").distinct(), "snp_id", out="snp_idx")
+    # three passes over a thin table: write it rather than match SNPs again
+    return sorted_positions(stage(edges.select("snp_id").distinct(), "snp-ids"), "snp_id", out="snp_idx")
 
 
 def block_ids(edges: DataFrame) -> DataFrame:

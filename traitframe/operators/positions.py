@@ -65,29 +65,28 @@ def hash_positions(
 
 
 def cut_points(df: DataFrame, key: str, buckets: int = SORT_BUCKETS) -> DataFrame:
-    """One row with a sorted array ``cuts`` of at most ``buckets - 1`` keys.
+    """One row with a struct of two sorted arrays: at most ``buckets - 1`` keys, and every 16th of them.
 
     The keys of lowest md5 are a uniform sample of the distinct keys that does
     not depend on partitioning; ``limit`` keeps them a fixed-size top-k.
     """
     lowest = df.select(F.col(key).alias("_key")).distinct().orderBy(F.md5(F.col("_key").cast("string")), "_key")
-    return lowest.limit(buckets - 1).agg(F.array_sort(F.collect_list("_key")).alias("cuts"))
-
-
-def cut_index(value: Column, cuts: Column) -> Column:
-    """Number of cut points at or below ``value``, by two short scans instead of one long one."""
-    coarse = F.filter(cuts, lambda c, i: i % _STEP == 0)
-    blocks = F.size(F.filter(coarse, lambda c: c <= value))
-    start = F.greatest((blocks - 1) * _STEP, F.lit(0))
-    inside = F.size(F.filter(F.slice(cuts, start + 1, F.lit(_STEP)), lambda c: c <= value))
-    return F.when(blocks == 0, F.lit(0)).otherwise(start + inside)
+    cuts = lowest.limit(buckets - 1).agg(F.array_sort(F.collect_list("_key")).alias("fine"))
+    coarse = F.filter("fine", lambda _, i: i % _STEP == 0)
+    return cuts.select(F.struct("fine", coarse.alias("coarse")).alias("cuts"))
 
 
 def sort_buckets(df: DataFrame, key: str, cuts: DataFrame) -> DataFrame:
-    """Adds ``_bucket``, ordered like ``key``, from the one-row table of :func:`cut_points`."""
-    # a column of its own: subqueries may not stand inside a higher-order function
-    with_cuts = df.withColumn("_cuts", cuts.scalar())
-    return with_cuts.withColumn("_bucket", cut_index(F.col(key), F.col("_cuts"))).drop("_cuts")
+    """Adds ``_bucket``, the number of cut points at or below ``key``, by two short scans."""
+    # columns of their own: subqueries may not stand inside a higher-order
+    # function, and the first scan is used twice
+    placed = df.withColumn("_cuts", cuts.scalar())
+    placed = placed.withColumn("_blocks", F.size(F.filter("_cuts.coarse", lambda c: c <= F.col(key))))
+    start = (F.col("_blocks") - 1) * _STEP
+    block = F.slice("_cuts.fine", F.greatest(start, F.lit(0)) + 1, F.lit(_STEP))
+    inside = F.size(F.filter(block, lambda c: c <= F.col(key)))
+    bucket = F.when(F.col("_blocks") == 0, F.lit(0)).otherwise(start + inside)
+    return placed.withColumn("_bucket", bucket).drop("_cuts", "_blocks")
 
 
 def sorted_positions(df: DataFrame, key: str, out: str = "position", total: str | None = None) -> DataFrame:

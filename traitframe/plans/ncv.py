@@ -16,13 +16,14 @@ from traitframe.constants import (
     SEED_SPLIT,
     VARIANCE_THRESHOLD,
 )
+from traitframe.functions.folds import fold_role
 from traitframe.operators.folds import given_fragments, random_fragments, with_folds
 from traitframe.operators.joins import require_rows, sized_join
 from traitframe.operators.preprocess import FOLD, apply_steps, attach, fit_labels, fit_omics
 from traitframe.operators.samples import labels_as_omics, pad_samples, shared_ids
 from traitframe.plans.forest import forest_steps
-from traitframe.session import stage
-from traitframe.sources.folds import write_folds
+from traitframe.session import new_path, stage
+from traitframe.sources.folds import read_folds, write_folds
 from traitframe.sources.sinks import write_metadata, write_table
 
 
@@ -118,8 +119,11 @@ def prepare_ncv(
         if forest is not None:
             if placed_labels is None:
                 raise ValueError("feature selection needs labels")
+            # written by fold, so that each forest reads its own partition only
+            path = new_path(omics.sparkSession, "scaled")
+            write_folds(_split(ready_omics, k_outer, k_inner), path)
             chosen = forest_steps(
-                _split(ready_omics, k_outer, k_inner), placed_labels, forest.n_features, forest.n_trees, forest.seeds, forest.max_depth
+                read_folds(omics.sparkSession, path), placed_labels, forest.n_features, forest.n_trees, forest.seeds, forest.max_depth
             )
             steps = stage(steps.unionByName(chosen), "omics-steps")
             ready_omics = apply_steps(treated, steps)
@@ -142,8 +146,6 @@ def prepare_ncv(
 
 def _split(rows: DataFrame, k_outer: int, k_inner: int) -> DataFrame:
     """Add ``split`` to rows that carry fold and fragment."""
-    from traitframe.functions.folds import fold_role
-
     return rows.withColumn("split", fold_role(F.col("fragment"), F.col("x_outer"), F.col("x_inner"), k_outer, k_inner))
 
 

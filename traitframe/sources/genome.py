@@ -97,14 +97,30 @@ def parse_sites(lines: DataFrame) -> DataFrame:
     return records.where(valid).withColumn("snp_id", snp_name(F.col("chrom"), F.col("pos")))
 
 
+def site_positions(lines: DataFrame) -> DataFrame:
+    """(snp_id, chrom, pos) of every SNP: all that matching SNPs to genes needs.
+
+    Repeated records of an ID share its position, so nothing has to be chosen
+    and no genotype text leaves the scan.
+    """
+    return parse_sites(lines).select("snp_id", "chrom", "pos").distinct()
+
+
 def sites_from_lines(lines: DataFrame) -> DataFrame:
     """One row per SNP with its genotype codes as a byte array; the last record of an ID counts.
 
-    Texts are coded before repeated IDs are removed, so that the shuffle moves
-    one byte per sample.
+    A record has few different genotype texts whatever its number of samples, so
+    each text is decoded once per record and looked up for the samples. Codes
+    replace texts before repeated IDs are removed, so that the shuffle moves one
+    byte per sample.
     """
-    sites = parse_sites(lines)
-    codes = F.transform("fields", lambda s: genotype_code(s, F.col("ref"), F.col("alts")))
+    sites = parse_sites(lines).withColumn("_gt", F.transform("fields", lambda s: F.substring_index(s, ":", 1))).drop("fields")
+    sites = sites.withColumn("_texts", F.array_distinct("_gt"))
+    sites = sites.withColumn("_codes", F.transform("_texts", lambda t: genotype_code(t, F.col("ref"), F.col("alts"))))
+    looked_up = F.transform("_gt", lambda t: F.get("_codes", (F.array_position("_texts", t) - 1).cast("int")))
+    # used a second time, the two tables stay columns; the optimizer would
+    # otherwise move their expressions into the loop over the samples
+    codes = F.when(F.size("_codes") == F.size("_texts"), looked_up)
     coded = sites.select("snp_id", "chrom", "pos", "ref", "alts", codes.alias("codes"), "line_no")
     return latest_sites(coded).drop("line_no")
 
