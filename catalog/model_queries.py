@@ -351,7 +351,7 @@ def _vectors(spark, sf, only=(0, 0), label="height"):
     labels = samples.melt_labels(i.wide_labels(spark, sf)).where(F.col("label") == label)
     done = ncv.prepare_ncv(i.omics_long(spark, sf), labels, K_OUTER, K_INNER, only=only, prepare_labels=label == "height")
     keys = ["x_outer", "x_inner", "split", "ID", "copy_no", "fragment"]
-    return stage(vectors.sample_vectors(done.omics, keys).join(done.labels.select(*keys, "y"), keys), "vectors")
+    return stage(vectors.sample_vectors(done.omics, keys, ["a", "b"]).join(done.labels.select(*keys, "y"), keys), "vectors")
 
 
 @query("m4_dual_extraction")

@@ -18,12 +18,12 @@ from traitframe.sources import sinks, tables
 
 # --- scans --------------------------------------------------------------------
 
-CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS ID, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS balance FROM customer"
+CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS ID, CAST(c_nationkey AS INT) AS nation, c_acctbal AS balance FROM customer"
 
 
 def _customers(spark, sf):
     return i.table(spark, sf, "customer").select(
-        F.col("c_custkey").cast("string").alias("ID"), F.col("c_nationkey").cast("double").alias("nation"), F.col("c_acctbal").alias("balance")
+        F.col("c_custkey").cast("string").alias("ID"), F.col("c_nationkey").cast("int").alias("nation"), F.col("c_acctbal").alias("balance")
     )
 
 

@@ -23,14 +23,14 @@ def sized_join(
 ) -> DataFrame:
     """Join a large table with a fitted table of unknown size.
 
-    ``small`` is written to the shared folder once (unless ``staged`` already) and
-    counted there. Up to ``max_rows`` rows it is broadcast, so ``big`` does not
+    ``small`` is written to the shared folder once and counted there (``staged``
+    skips the writing: the table is saved already, or cheap to derive from one). Up to ``max_rows`` rows it is broadcast, so ``big`` does not
     move. Beyond that both sides are shuffled on the keys plus a salt taken from
     ``salt_by`` columns of ``big``, with ``small`` repeated once per salt: a key
     that holds a third of ``big`` is spread over ``salts`` tasks.
     """
-    if how not in ("inner", "left", "left_semi"):
-        raise ValueError("how must be inner, left or left_semi")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("how must be inner, left, left_semi or left_anti")
     on = list(on)
     if not staged:
         small = stage(small, "small-side")

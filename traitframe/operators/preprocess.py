@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitframe.constants import SALTS, TRAIN, VARIANCE_THRESHOLD
+from traitframe.constants import BROADCAST_ROWS, SALTS, TRAIN, VARIANCE_THRESHOLD
 from traitframe.functions.scoring import or_missing
 from traitframe.operators.folds import with_folds
 from traitframe.operators.joins import sized_join
@@ -37,9 +37,9 @@ OMICS_STEPS = ("impute", "variance", "minmax")
 LABEL_STEPS = ("impute", "zscore")
 
 
-def attach(long: DataFrame, samples: DataFrame) -> DataFrame:
+def attach(long: DataFrame, samples: DataFrame, staged: bool = False) -> DataFrame:
     """Long rows with the columns of a thin sample table; padded copies repeat their rows."""
-    return sized_join(long, samples, ["ID"], salt_by=["ID"] + [c for c in ("feature", "label") if c in long.columns])
+    return sized_join(long, samples, ["ID"], staged=staged)
 
 
 def fragment_statistics(long: DataFrame) -> DataFrame:
@@ -157,16 +157,18 @@ def compile_steps(params: DataFrame) -> DataFrame:
     return folded.withColumn("_f", F.aggregate("_steps", begin, follow)).select(*FOLD, *FEATURE, "keep", "_f.*")
 
 
-def apply_steps(long: DataFrame, params: DataFrame, salts: int = SALTS, max_rows: int | None = None) -> DataFrame:
+def apply_steps(
+    long: DataFrame, params: DataFrame, salts: int = SALTS, max_rows: int = BROADCAST_ROWS, saved: bool = False
+) -> DataFrame:
     """Apply fitted steps: one output row per fold and kept feature.
 
     ``long`` may be any data, seen before or not. Rows that already carry fold
-    columns are matched to their own fold.
+    columns are matched to their own fold. ``saved`` tells that ``params`` is read
+    from storage, so that counting it does not fit it again.
     """
     ready = compile_steps(params).where("keep").drop("keep")
     on = [*(FOLD if set(FOLD) <= set(long.columns) else []), *FEATURE]
-    bound = {} if max_rows is None else {"max_rows": max_rows}
-    rows = sized_join(long, ready, on, salt_by=["ID"], salts=salts, **bound)
+    rows = sized_join(long, ready, on, salt_by=["ID"], salts=salts, max_rows=max_rows, staged=saved)
     value = F.coalesce(or_missing(F.col("value")), F.col("fill"))
     return rows.withColumn("value", (value - F.col("shift")) / F.col("divisor")).drop("fill", "shift", "divisor")
 

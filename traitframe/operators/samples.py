@@ -44,11 +44,10 @@ def choose_columns(df: DataFrame, columns: Sequence[str] | Sequence[int] | None)
 def melt_omics(df: DataFrame, omics: str) -> DataFrame:
     """Wide table (ID, one column per feature) to long form."""
     features = df.columns[1:]
-    wide = df.select("ID", *[F.col(f"`{c}`").cast("double").alias(c) for c in features])
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("feature_idx"), F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(features)]
-    )
-    return wide.select("ID", F.lit(omics).alias("omics"), F.inline(cells))
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    cells = df.select("ID", F.posexplode(values).alias("feature_idx", "value"))
+    name = F.get(F.array(*[F.lit(c) for c in features]), F.col("feature_idx"))
+    return cells.select("ID", F.lit(omics).alias("omics"), "feature_idx", name.alias("feature"), "value")
 
 
 def melt_labels(df: DataFrame) -> DataFrame:

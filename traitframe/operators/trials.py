@@ -10,17 +10,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitframe.operators.joins import sized_join
+
 FOLD = ["x_outer", "x_inner"]
 
 
 def rows_at_minimum(trials: DataFrame, by: Sequence[str], loss: str) -> DataFrame:
     """Rows equal to their group's minimum, ties kept.
 
-    Minima come from a partial aggregate; the join key includes the loss, so a
-    large group is spread over tasks by its losses.
+    Minima come from a partial aggregate, one row per group; joining them back
+    does not move the log while there are few groups, and is salted beyond.
     """
     least = trials.groupBy(*by).agg(F.min(loss).alias(loss))
-    return trials.join(least, [*by, loss], "left_semi")
+    return sized_join(trials, least, [*by, loss], "left_semi", salt_by=["trial_tag"])
 
 
 def group_minimum(trials: DataFrame, by: Sequence[str], loss: str, out: str = "min_loss") -> DataFrame:
@@ -59,7 +61,7 @@ def model_of_fold(best: DataFrame, x_outer: int, x_inner: int) -> DataFrame:
 def inferior_trials(trials: DataFrame) -> DataFrame:
     """Trials whose tag is not the tag of a best trial."""
     best = rows_at_minimum(trials, FOLD, "val_loss").select("trial_tag").distinct()
-    return trials.join(best, "trial_tag", "left_anti")
+    return sized_join(trials, best, ["trial_tag"], "left_anti", salt_by=["val_loss", "test_loss"])
 
 
 def leaderboard(trials: DataFrame, studies: DataFrame | None = None, select_on: str = "test_loss") -> tuple[DataFrame, DataFrame]:

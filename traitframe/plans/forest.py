@@ -36,7 +36,7 @@ def forest_importances(
     for omics in sorted(r["omics"] for r in train.select("omics").distinct().collect()):
         part = train.where(F.col("omics") == omics)
         names = [f for _, f in feature_order(part)]
-        data = sample_vectors(part, keys).join(wide, keys).cache()
+        data = sample_vectors(part, keys, [omics]).join(wide, keys).cache()
         for i, trait in enumerate(traits):
             for seed in seeds:
                 forest = RandomForestRegressor(

@@ -83,7 +83,11 @@ def _hidden(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def combine(outputs: DataFrame, weights: dict[str, float], regression: bool) -> DataFrame:
     """Weighted sum of the outputs, class by class."""
-    terms = [F.transform(f"s_{n}", lambda v, w=w: v * F.lit(float(w))) for n, w in weights.items()]
+
+    def weighed(name: str, weight: float) -> Column:
+        return F.transform(f"s_{name}", lambda v: v * F.lit(float(weight)))
+
+    terms = [weighed(n, w) for n, w in weights.items()]
     total = reduce(lambda a, b: F.zip_with(a, b, lambda p, q: p + q), terms)
     rows = outputs.withColumn("scores", total)
     return rows.withColumn("y_pred", F.get("scores", F.lit(0)) if regression else argmax(F.col("scores")).cast("double"))

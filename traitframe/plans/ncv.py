@@ -20,7 +20,7 @@ from traitframe.functions.folds import fold_role
 from traitframe.operators.folds import given_fragments, random_fragments, with_folds
 from traitframe.operators.joins import require_rows, sized_join
 from traitframe.operators.preprocess import FOLD, apply_steps, attach, fit_labels, fit_omics
-from traitframe.operators.samples import labels_as_omics, pad_samples, shared_ids
+from traitframe.operators.samples import labels_as_omics, pad_samples, shared_omics_ids
 from traitframe.plans.forest import forest_steps
 from traitframe.session import new_path, stage
 from traitframe.sources.folds import read_folds, write_folds
@@ -47,16 +47,24 @@ class Prepared:
     params: DataFrame  # fitted steps of omics and labels
 
 
+def shared_sample_ids(omics: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """IDs present in every omics table and in the labels, written once.
+
+    The large table is read once, for its distinct (ID, omics) pairs; everything
+    after that runs on thin tables.
+    """
+    present = stage(omics.select("ID", "omics").distinct(), "presence")
+    ids = shared_omics_ids(present, present.select("omics").distinct().count())
+    if labels is not None:
+        ids = ids.join(labels.select("ID").distinct(), "ID", "left_semi")
+    return require_rows(stage(ids, "shared-ids"), "no sample is present in every table")
+
+
 def assemble(omics: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Restrict a long omics frame and labels to the samples all of them share."""
-    names = [r["omics"] for r in omics.select("omics").distinct().collect()]  # one per input table
-    tables = [omics.where(F.col("omics") == n).select("ID") for n in sorted(names)]
-    if labels is not None:
-        tables.append(labels.select("ID"))
-    ids = stage(shared_ids(*tables), "shared-ids")
-    require_rows(ids, "no sample is present in every table")
+    ids = shared_sample_ids(omics, labels)
     kept = sized_join(omics, ids, ["ID"], "left_semi", staged=True)
-    return kept, None if labels is None else labels.join(ids, "ID", "left_semi")
+    return kept, None if labels is None else sized_join(labels, ids, ["ID"], "left_semi", staged=True)
 
 
 def prepare_ncv(
@@ -86,8 +94,7 @@ def prepare_ncv(
     if pad not in ("duplicate", "none"):
         raise ValueError("pad must be 'duplicate' or 'none'")
     n_fragments = k_outer * k_inner
-    omics, labels = assemble(omics, labels)
-    ids = omics.select("ID").distinct()
+    ids = shared_sample_ids(omics, labels)
     if pad == "duplicate" and fragments is None:
         samples = pad_samples(ids, multiple_of=n_fragments, seed=seed_resample)
     else:
@@ -96,26 +103,27 @@ def prepare_ncv(
         cut = random_fragments(samples, n_fragments, seed_split, ["ID", "copy_no"]).drop("position")
     else:
         cut = given_fragments(samples, fragments, n_fragments)
-    # one thin row per sample: written once, read by every later step
+    # one thin row per sample: written once, read by every later step. Joining it
+    # also drops the samples that are not shared.
     cut = stage(cut, "fragments")
     plan = with_folds(cut, k_outer, k_inner, only)
 
     params = None
     placed_labels = None
     if labels is not None:
-        as_omics = attach(labels_as_omics(labels), cut)
+        as_omics = attach(labels_as_omics(labels), cut, staged=True)
         if prepare_labels:
             params = stage(fit_labels(as_omics, k_outer, k_inner, only), "label-steps")
-            ready = apply_steps(as_omics, params)
+            ready = apply_steps(as_omics, params, saved=True)
         else:
             ready = with_folds(as_omics, k_outer, k_inner, only).drop("split")
         placed_labels = ready.select(*FOLD, "ID", "copy_no", "fragment", F.col("feature").alias("label"), F.col("value").alias("y"))
 
-    placed = attach(omics, cut)
+    placed = attach(omics, cut, staged=True)
     treated = placed.where(~F.col("omics").isin(*codes)) if codes else placed
     if prepare_omics:
         steps = stage(fit_omics(treated, k_outer, k_inner, threshold, only), "omics-steps")
-        ready_omics = apply_steps(treated, steps)
+        ready_omics = apply_steps(treated, steps, saved=True)
         if forest is not None:
             if placed_labels is None:
                 raise ValueError("feature selection needs labels")
@@ -126,7 +134,7 @@ def prepare_ncv(
                 read_folds(omics.sparkSession, path), placed_labels, forest.n_features, forest.n_trees, forest.seeds, forest.max_depth
             )
             steps = stage(steps.unionByName(chosen), "omics-steps")
-            ready_omics = apply_steps(treated, steps)
+            ready_omics = apply_steps(treated, steps, saved=True)
         params = steps if params is None else params.unionByName(steps)
     else:
         ready_omics = with_folds(treated, k_outer, k_inner, only).drop("split")
@@ -167,10 +175,10 @@ def apply_preprocessors(omics: DataFrame, labels: DataFrame | None, params: Data
     wanted = {r["omics"] for r in omics.select("omics").distinct().collect()} | ({"label"} if labels is not None else set())
     if not wanted <= known:
         raise ValueError(f"no saved steps for {sorted(wanted - known)}")
-    ready = apply_steps(omics, params)
+    ready = apply_steps(omics, params, saved=True)
     ready_labels = None
     if labels is not None:
-        ready_labels = apply_steps(labels_as_omics(labels), params).select(
+        ready_labels = apply_steps(labels_as_omics(labels), params, saved=True).select(
             *FOLD, "ID", F.col("feature").alias("label"), F.col("value").alias("y")
         )
     if path is not None:

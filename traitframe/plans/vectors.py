@@ -18,9 +18,12 @@ def feature_order(long: DataFrame) -> list[tuple[str, str]]:
     return [(r["omics"], r["feature"]) for r in rows]
 
 
-def sample_vectors(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys`` plus one dense vector column ``x_<omics>`` per omics table and their names."""
-    names = sorted(r["omics"] for r in long.select("omics").distinct().collect())
+def sample_vectors(long: DataFrame, keys: Sequence[str], omics: Sequence[str] | None = None) -> DataFrame:
+    """``keys`` plus one dense vector column ``x_<omics>`` per omics table.
+
+    Without ``omics`` the table names are looked up, which costs a pass.
+    """
+    names = sorted(omics or [r["omics"] for r in long.select("omics").distinct().collect()])
     cells = F.struct("feature_idx", "feature", "value")
     columns = [
         array_to_vector(F.sort_array(F.collect_list(F.when(F.col("omics") == n, cells)))["value"]).alias(f"x_{n}") for n in names

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from traitframe.operators.samples import choose_columns, melt_labels, melt_omics, name_id_column
 
@@ -20,11 +21,8 @@ def read_omics(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
-        reader = spark.read.option("header", True).option("nanValue", "NaN")
-        if schema:
-            table = reader.schema(schema).csv(path)
-        else:
-            table = _infer_numbers(reader.csv(path))
+        reader = spark.read.option("header", True)
+        table = reader.schema(schema).csv(path) if schema else reader.schema(_inferred(spark, path)).csv(path)
     elif kind == ".parquet":
         table = spark.read.parquet(path)
     elif not kind:
@@ -37,10 +35,10 @@ def read_omics(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return table.withColumn(table.columns[0], F.col(f"`{table.columns[0]}`").cast("string"))
 
 
-def _infer_numbers(text: DataFrame) -> DataFrame:
-    """Every column but the first as double. IDs such as ``007`` keep their text."""
-    first, *others = text.columns
-    return text.select(F.col(f"`{first}`"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in others])
+def _inferred(spark: SparkSession, path: str) -> StructType:
+    """Types of a CSV file; the first column stays text, so that an ID like ``007`` keeps its zeros."""
+    found = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+    return StructType([StructField(found[0].name, StringType()), *found.fields[1:]])
 
 
 def read_omics_long(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
