@@ -10,7 +10,7 @@ from catalog.registry import query, r6
 from traitframe.functions import genome as g
 from traitframe.operators import blocks, genotypes, positions
 from traitframe.operators.folds import random_fragments, with_folds
-from traitframe.session import new_path
+from traitframe.session import new_path, stage
 from traitframe.sources import folds as fold_files
 from traitframe.sources import genome, sinks, tables
 
@@ -30,6 +30,11 @@ def _edges(spark, sf, **options):
     return genotypes.snps_in_genes(genome.site_positions(i.vcf_lines(spark, sf)), genome.genes_from_lines(i.gff_lines(spark, sf)), **options)
 
 
+def _saved_edges(spark, sf):
+    """Matched once, for queries that use them more than once."""
+    return stage(_edges(spark, sf), "edges")
+
+
 @query("s4_gff_genes", with_(i.GENES) + """SELECT gene_id, seqid, start, "end", strand, 'gene' AS feature_type, "end" - start + 1 AS len FROM genes""")
 def s4(spark, sf):
     path = new_path(spark, "s4") + ".gff3"
@@ -46,14 +51,14 @@ def s5(spark, sf):
 
 @query("s14_genotype_writer", with_(*MATCHED) + "SELECT snp_id, block_id FROM edges")
 def s14(spark, sf):
-    path, edges = new_path(spark, "s14"), _edges(spark, sf)
+    path, edges = new_path(spark, "s14"), _saved_edges(spark, sf)
     sinks.write_genotypes(genotypes.calls_in_genes(_calls(spark, sf), edges), edges, path)
     return tables.read_genotypes(spark, path)["snp_block"]
 
 
 @query("s3_genotype_scan", with_(*MATCHED, i.CALLS) + "SELECT ID, snp_id, code FROM calls WHERE snp_id IN (SELECT snp_id FROM edges)")
 def s3(spark, sf):
-    path, edges = new_path(spark, "s3"), _edges(spark, sf)
+    path, edges = new_path(spark, "s3"), _saved_edges(spark, sf)
     sinks.write_genotypes(genotypes.calls_in_genes(_calls(spark, sf), edges), edges, path)
     return tables.read_genotypes(spark, path)["genotypes"].withColumn("code", F.col("code").cast("int"))
 
@@ -131,7 +136,7 @@ def p9(spark, sf):
     + "SELECT ID, block_id, count(*) AS n_bits, CAST(sum(snp_idx * 10 + code - 1) AS BIGINT) AS bit_sum FROM calls JOIN snp_idx USING (snp_id) JOIN edges USING (snp_id) WHERE code > 0 GROUP BY ALL",
 )
 def p9_gene(spark, sf):
-    edges = _edges(spark, sf)
+    edges = _saved_edges(spark, sf)
     bits = genotypes.onehot_calls_by_block(_calls(spark, sf), edges, genotypes.snp_index(edges))
     return bits.groupBy("ID", "block_id").agg(F.count(F.lit(1)).alias("n_bits"), F.sum("bit").alias("bit_sum"))
 
@@ -168,7 +173,7 @@ def w5_snp(spark, sf):
     with_(*MATCHED, i.INDEX) + "SELECT block_id, string_agg(CAST(snp_idx AS VARCHAR), ',' ORDER BY snp_idx) AS snps FROM edges JOIN snp_idx USING (snp_id) GROUP BY block_id, snp_idx // 4096",
 )
 def a10(spark, sf):
-    edges = _edges(spark, sf)
+    edges = _saved_edges(spark, sf)
     lists = genotypes.block_snp_lists(edges, genotypes.snp_index(edges))
     return lists.select("block_id", F.array_join(F.col("snp_idx").cast("array<string>"), ",").alias("snps"))
 
@@ -189,7 +194,7 @@ def a12(spark, sf):
     count(DISTINCT snp_id) AS n_snps, count(DISTINCT block_id) AS n_blocks FROM edges""",
 )
 def a13(spark, sf):
-    genes, edges = genome.genes_from_lines(i.gff_lines(spark, sf)), genotypes.matched_or_error(_edges(spark, sf))
+    genes, edges = genome.genes_from_lines(i.gff_lines(spark, sf)), genotypes.matched_or_error(_saved_edges(spark, sf))
     return genotypes.counts(genes, _calls(spark, sf), edges)
 
 
@@ -200,7 +205,7 @@ EMBED = (*MATCHED, i.CALLS, i.WEIGHTS, EMBEDDED)
 
 
 def _embedded(spark, sf):
-    edges = _edges(spark, sf)
+    edges = _saved_edges(spark, sf)
     return blocks.block_embed(_calls(spark, sf), edges, i.weights(edges))
 
 
@@ -214,7 +219,7 @@ def m3(spark, sf):
     with_(*MATCHED, i.WEIGHTS) + "SELECT snp_id, block_id, round(sum(w * code), 6) + 0e0 AS checksum FROM weights GROUP BY ALL",
 )
 def j9(spark, sf):
-    edges = _edges(spark, sf)
+    edges = _saved_edges(spark, sf)
     listed = blocks.weights_per_edge(edges, i.weights(edges))
     total = F.aggregate(F.transform("w", lambda w, k: w * (k + 1)), F.lit(0.0), lambda a, b: a + b)
     return listed.select("snp_id", "block_id", r6(total).alias("checksum"))
@@ -245,7 +250,7 @@ def _targets(spark, sf):
 
 @query("m2_block_weight_fit", with_(*FIT) + "SELECT x_outer, x_inner, block_id, snp_id, code, round(w, 6) + 0e0 AS w FROM fitted_weights WHERE x_outer = 0 AND x_inner = 0")
 def m2(spark, sf):
-    fitted = blocks.fit_block_weights(_calls(spark, sf), _edges(spark, sf), _targets(spark, sf), K_OUTER, K_INNER, only=(0, 0))
+    fitted = blocks.fit_block_weights(_calls(spark, sf), _saved_edges(spark, sf), _targets(spark, sf), K_OUTER, K_INNER, only=(0, 0))
     return fitted.select("x_outer", "x_inner", "block_id", "snp_id", F.col("code").cast("int").alias("code"), r6("w").alias("w"))
 
 
@@ -257,7 +262,7 @@ def m2(spark, sf):
     GROUP BY ALL""",
 )
 def s12(spark, sf):
-    calls, edges, targets = _calls(spark, sf), _edges(spark, sf), _targets(spark, sf)
+    calls, edges, targets = stage(_calls(spark, sf), "calls"), _saved_edges(spark, sf), _targets(spark, sf)
     fitted = blocks.fit_block_weights(calls, edges, targets, K_OUTER, K_INNER, only=(0, 0))
     embedded = blocks.block_embed(calls, edges, fitted)
     split = with_folds(targets.select("ID", "fragment"), K_OUTER, K_INNER, (0, 0)).drop("fragment")

@@ -35,12 +35,14 @@ def sized_join(
     if not staged:
         small = stage(small, "small-side")
     if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    if not salt_by:
-        return big.join(small, on, how)
-    salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+        joined = big.join(F.broadcast(small), on, how)
+    elif not salt_by:
+        joined = big.join(small, on, how)
+    else:
+        salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+        salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+    return joined.select(*big.columns, *[c for c in joined.columns if c not in big.columns])
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Column, last: bool = False) -> DataFrame:

@@ -19,11 +19,13 @@ def regression_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFr
     error = F.col("y_pred") - F.col("y")
     many = F.count(F.lit(1)) > 1
     spread = F.var_pop("y") * F.count(F.lit(1))
+    # corr() itself fails on a constant column in ANSI mode
+    pearson = F.try_divide(F.covar_pop("y", "y_pred"), F.sqrt(F.var_pop("y") * F.var_pop("y_pred")))
     return predictions.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
-        F.when(many & (F.var_pop("y") > 0) & (F.var_pop("y_pred") > 0), F.corr("y", "y_pred")).alias("pearson"),
+        F.when(many, pearson).alias("pearson"),
         F.when(many, 1 - F.try_divide(F.sum(error * error), spread)).alias("r2"),
     )
 
