@@ -19,11 +19,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores before each of them becomes many.
+
+    One Parquet row group is one task; the text lines and cells made from it
+    stand for large inputs of many splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 # --- feature tables: 64 dimensions in two omics tables, with gaps and a constant ---
 
 
 def omics_long(spark: SparkSession, sf: str) -> DataFrame:
-    cells = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    cells = spread(table(spark, sf, "embeddings")).select("vec_id", F.posexplode("embedding").alias("i", "v"))
     value = F.when((F.col("vec_id") * 31 + F.col("i")) % 17 == 0, None).when(F.col("i") == 31, 1.0).otherwise(F.col("v").cast("double"))
     return cells.select(
         F.col("vec_id").cast("string").alias("ID"),
@@ -115,7 +125,7 @@ def gff_lines(spark: SparkSession, sf: str) -> DataFrame:
         record(3, "gene", F.lit("x1"), (start + size).cast("string"), p % 19 == 0),
         record(4, "gene", start.cast("string"), (start + size + 500).cast("string"), p % 29 == 0),
     )
-    lines = table(spark, sf, "part").select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.line_no", "r.value")
+    lines = spread(table(spark, sf, "part")).select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.line_no", "r.value")
     head = spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit("##gff-version 3").alias("value"))
     return head.unionByName(lines)
 
@@ -146,7 +156,7 @@ TEN_ALTS = "C,G,T,A,C,G,T,A,C,G"
 def _site(spark: SparkSession, sf: str) -> DataFrame:
     """Three positions per part, and a later record for some of them (j = 3)."""
     p = F.col("p_partkey")
-    sites = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    sites = spread(table(spark, sf, "part")).select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
     sites = sites.where((F.col("j") < 3) | (p % 17 == 0)).withColumn("k", F.col("j") % 3)
     letters = F.lit("ACGT")
     ref = F.substr(letters, (p % 4 + 1).cast("int"), F.lit(1))
