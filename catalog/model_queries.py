@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
@@ -11,7 +12,7 @@ from traitframe.functions.scoring import argmax
 from traitframe.operators import importance as imp
 from traitframe.operators import metrics, samples, trials
 from traitframe.operators.folds import random_fragments
-from traitframe.plans import models, ncv, vectors
+from traitframe.plans import models, ncv, ranking, vectors
 from traitframe.session import new_path, stage
 from traitframe.sources import folds as fold_files
 from traitframe.sources import sinks
@@ -392,6 +393,16 @@ def _predicted(spark, sf):
     return models.predict_fold(data, log, fitted, 0, 0)
 
 
+@query("m9_rank_outer_fold")
+def m9_rank(spark, sf):
+    data = _vectors(spark, sf)
+    log, fitted = models.sweep(data, ["a", "b"], [(0, 0)], n_trials=1)
+    # entries of the vectors: the features that passed, in order
+    widths = data.select(*[F.size(vector_to_array(f"x_{o}")).alias(o) for o in "ab"]).first()
+    names = [(o, f"{o}{j}") for o in "ab" for j in range(widths[o])]
+    return ranking.rank_outer_fold(data, log, fitted, names, 0, SEEDS)
+
+
 @query("m8_predict_fold")
 def m8(spark, sf):
     return _predicted(spark, sf)

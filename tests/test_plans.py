@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from traitframe.operators import metrics, samples
 from traitframe.operators.trials import best_trials
-from traitframe.plans import models, ncv, vectors
+from traitframe.plans import models, ncv, ranking, vectors
 from traitframe.sources import folds as fold_files
 from traitframe.streaming import apply_steps_stream
 
@@ -125,3 +125,17 @@ def test_classes(vecs):
     train = scored.where("split = 'trn'").agg(F.avg((F.col("y") == F.col("y_pred")).cast("double"))).first()[0]
     assert train > 0.7
     assert set(models.split_losses(model, data)) == {"trn", "val", "tst"}
+
+
+def test_ranking_finds_the_informative_features(spark, vecs, prepared, tmp_path):
+    log, fitted = models.sweep(vecs, ["a", "b"], [(0, 0)], n_trials=1)
+    names = vectors.feature_order(prepared.omics)
+    ranked = ranking.rank_outer_fold(vecs, log, fitted, names, 0, [55, 66], f"{tmp_path}/r0")
+    got = [(r["omics"], r["feature"]) for r in ranked.collect()]
+    assert len(got) == 4 and set(got[:2]) == {("a", "a1"), ("b", "b1")}
+    assert spark.read.parquet(f"{tmp_path}/r0/perm_trials").count() == 8
+    merged = ranking.collect_ranks(spark, {0: f"{tmp_path}/r0", 3: f"{tmp_path}/r0"}, f"{tmp_path}/m")
+    assert merged.columns == ["omics", "feature", "average", "test_1", "test_2"]
+    assert [r["feature"] for r in spark.read.parquet(f"{tmp_path}/m/ranking").orderBy(F.desc("average")).collect()][0] == got[0][1]
+    with pytest.raises(ValueError):
+        ranking.rank_outer_fold(vecs, log, fitted, names, 2, [55])

@@ -11,8 +11,9 @@ from traitframe.operators.trials import best_inner, best_overall, best_trials, i
 from traitframe.plans.genotypes import encode_genotypes
 from traitframe.plans.models import fit_dual_extraction, predict_fold, sweep
 from traitframe.plans.ncv import ForestSettings, apply_preprocessors, assemble, prepare_ncv, write_prepared
+from traitframe.plans.ranking import collect_ranks, rank_features, rank_outer_fold
 from traitframe.sources.folds import read_fold_tagged, read_folds, write_folds
 from traitframe.sources.genome import read_gff_genes, read_vcf_calls, read_vcf_sites
-from traitframe.sources.tables import read_genotypes, read_labels, read_omics, read_omics_long
+from traitframe.sources.tables import read_genotypes, read_labels, read_labels_long, read_omics, read_omics_long
 
 __all__ = [name for name in dir() if not name.startswith("_")]

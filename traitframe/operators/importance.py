@@ -52,23 +52,32 @@ def linear_importance_trials(samples: DataFrame, weights: Column, pairs: DataFra
     return cells.groupBy("j", "seed").agg(F.avg(error * error).alias("loss"))
 
 
-def importance_trials(samples: DataFrame, score: Callable[[DataFrame], DataFrame], pairs: DataFrame, n_features: int) -> DataFrame:
+def importance_trials(
+    samples: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    pairs: DataFrame,
+    n_features: int,
+    loss: Column | None = None,
+) -> DataFrame:
     """Loss per (j, seed) for any scorer.
 
-    ``samples`` is (ID, x array, y); ``score`` adds ``y_pred`` to rows holding
-    ``x``. Each row is repeated once per feature with that feature swapped,
+    ``samples`` is (ID, x array, y); ``score`` adds ``y_pred`` (and whatever
+    ``loss`` reads, squared error by default) to rows holding ``x``. Each row is repeated once per feature with that feature swapped,
     scored and reduced in the same stage, so the repeats are never stored.
     """
     rows = _paired_rows(samples, pairs).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))))
     swapped = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("x_source", i)).otherwise(v))
     scored = score(rows.withColumn("x", swapped).drop("x_source"))
-    error = F.col("y_pred") - F.col("y")
-    return scored.groupBy("j", "seed").agg(F.avg(error * error).alias("loss"))
+    return scored.groupBy("j", "seed").agg(F.avg(squared_error() if loss is None else loss).alias("loss"))
 
 
-def baseline_loss(scored: DataFrame) -> DataFrame:
+def squared_error() -> Column:
     error = F.col("y_pred") - F.col("y")
-    return scored.agg(F.avg(error * error).alias("loss"))
+    return error * error
+
+
+def baseline_loss(scored: DataFrame, loss: Column | None = None) -> DataFrame:
+    return scored.agg(F.avg(squared_error() if loss is None else loss).alias("loss"))
 
 
 def importance_scores(trials: DataFrame, baseline: DataFrame, by: Sequence[str] = ("j",)) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from traitframe.constants import TEST, TRAIN, TRIALS_PER_FOLD, VALID
 from traitframe.functions.scoring import argmax, cross_entropy
+from traitframe.operators.importance import squared_error
 from traitframe.operators.trials import best_trials, model_of_fold
 
 DEFAULT_GRID: dict[str, list[float]] = {"l2": [0.001, 0.01, 0.1, 1.0], "elastic": [0.0, 0.5], "l2_integrated": [0.01, 0.1]}
@@ -145,10 +146,15 @@ def fit_dual_extraction(
     return model
 
 
+def row_loss(model: DualExtraction) -> Column:
+    """Squared error, or cross-entropy of the class scores."""
+    return squared_error() if model.regression else cross_entropy(F.col("scores"), F.col("y").cast("int"))
+
+
 def split_losses(model: DualExtraction, data: DataFrame) -> dict[str, float]:
     """Mean loss per split: squared error, or cross-entropy."""
     scored = model.transform(data)
-    loss = F.pow(F.col("y_pred") - F.col("y"), F.lit(2)) if model.regression else cross_entropy(F.col("scores"), F.col("y").cast("int"))
+    loss = row_loss(model)
     return {r["split"]: r["loss"] for r in scored.groupBy("split").agg(F.avg(loss).alias("loss")).collect()}
 
 

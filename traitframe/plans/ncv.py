@@ -163,7 +163,10 @@ def write_prepared(prepared: Prepared, path: str) -> None:
     if prepared.labels is not None:
         write_folds(prepared.labels, f"{path}/labels")
     write_table(prepared.params, f"{path}/steps")
-    write_metadata(prepared.omics, prepared.labels, prepared.samples, f"{path}/metadata")
+    # from the written columns, rather than preparing everything once more
+    spark = prepared.samples.sparkSession
+    labels = None if prepared.labels is None else read_folds(spark, f"{path}/labels")
+    write_metadata(read_folds(spark, f"{path}/omics"), labels, prepared.samples, f"{path}/metadata")
 
 
 def apply_preprocessors(omics: DataFrame, labels: DataFrame | None, params: DataFrame, path: str | None = None):
