@@ -109,6 +109,18 @@ def n5(spark, sf):
     return _shown(done.omics.select("ID", *FOLD_FEATURE, "value").unionByName(labels))
 
 
+@query(
+    "s8_written_once",
+    with_(*i.PREPARED).replace("md5('42|' || ID)", "md5('42|' || ID || '|0')")
+    + SCALED.replace("JOIN stats s USING (omics, feature)", "JOIN stats s USING (omics, feature) JOIN fragments f ON f.ID = t.ID JOIN roles r ON r.fragment = f.fragment AND r.x_outer = s.x_outer AND r.x_inner = s.x_inner")
+    + " WHERE s.variance > 0.01e0 AND s.x_outer = 1 AND s.x_inner = 2 AND r.split = 'tst'",
+)
+def s8_once(spark, sf):
+    path = new_path(spark, "s8-once")
+    ncv.write_once(ncv.prepare_ncv(i.omics_long(spark, sf), None, K_OUTER, K_INNER, pad="none"), path)
+    return _shown(ncv.read_once(spark, path, K_OUTER, K_INNER, 1, 2, "tst"))
+
+
 @query("n9_saved_steps", with_(*i.PREPARED) + SCALED + " WHERE s.variance > 0.01e0 AND s.x_outer = 0 AND s.x_inner = 0")
 def n9(spark, sf):
     saved = stage(pre.fit_omics(placed(spark, sf), K_OUTER, K_INNER, only=(0, 0)), "steps")

@@ -12,7 +12,8 @@ from traitframe.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    # tables are tiny here: compiling code per query would take most of the time
+    session = local_session(4, "tests", spark__sql__codegen__wholeStage="false", spark__sql__shuffle__partitions="2")
     yield session
     session.stop()
 

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from traitframe.functions.folds import fragments_of
 from traitframe.operators import metrics, samples
+from traitframe.operators.folds import fold_roles
 from traitframe.operators.trials import best_trials
 from traitframe.plans import models, ncv, ranking, vectors
 from traitframe.sources import folds as fold_files
@@ -139,3 +141,31 @@ def test_ranking_finds_the_informative_features(spark, vecs, prepared, tmp_path)
     assert [r["feature"] for r in spark.read.parquet(f"{tmp_path}/m/ranking").orderBy(F.desc("average")).collect()][0] == got[0][1]
     with pytest.raises(ValueError):
         ranking.rank_outer_fold(vecs, log, fitted, names, 2, [55])
+
+
+def test_written_once_reads_like_every_fold(spark, tables, tmp_path):
+    omics, labels = tables
+    done = ncv.prepare_ncv(omics, labels, 4, 3, codes=["b"])
+    ncv.write_once(done, f"{tmp_path}/d")
+    cols = ["ID", "copy_no", "omics", "feature", F.round("value", 9).alias("v")]
+    for outer, inner, split in ((0, 0, "trn"), (3, 2, "val"), (1, 1, "tst")):
+        here = (F.col("x_outer") == outer) & (F.col("x_inner") == inner) & (F.col("split") == split)
+        got = ncv.read_once(spark, f"{tmp_path}/d", 4, 3, outer, inner, split)
+        assert rows(got.select(*cols)) == rows(done.omics.where(here).select(*cols))
+        y = ncv.read_once(spark, f"{tmp_path}/d", 4, 3, outer, inner, split, "labels")
+        assert rows(y.select("ID", F.round("value", 9))) == rows(done.labels.where(here).select("ID", F.round("y", 9)))
+
+
+def test_fragments_of_agrees_with_roles(spark):
+    for r in fold_roles(spark, 5, 3).groupBy("x_outer", "x_inner", "split").agg(F.sort_array(F.collect_list("fragment")).alias("f")).collect():
+        assert fragments_of(r["split"], r["x_outer"], r["x_inner"], 5, 3) == r["f"]
+
+
+def test_steps_of_a_whole_table(tables):
+    omics, labels = tables
+    steps = ncv.fit_whole(omics, labels)
+    ready, ready_labels = ncv.apply_preprocessors(omics, labels, steps)
+    ends = ready.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    assert {(r["lo"], r["hi"]) for r in ends.collect()} == {(0.0, 1.0)}
+    z = ready_labels.agg(F.avg("y"), F.stddev_pop("y")).first()
+    assert z[0] == pytest.approx(0, abs=1e-9) and z[1] == pytest.approx(1)

@@ -37,6 +37,14 @@ def fold_role(fragment: Column, x_outer: Column, x_inner: Column, k_outer: int,
     return F.when(is_test, TEST).when(is_valid, VALID).otherwise(TRAIN)
 
 
+def fragments_of(split: str, x_outer: int, x_inner: int, k_outer: int, k_inner: int) -> list[int]:
+    """Fragment numbers with a role in one fold, for pruning partitions."""
+    test = range(x_outer * k_inner, (x_outer + 1) * k_inner)
+    rest = [f for f in range(k_outer * k_inner) if f not in test]
+    valid = rest[x_inner * (k_outer - 1) : (x_inner + 1) * (k_outer - 1)]
+    return {TEST: list(test), VALID: valid, TRAIN: [f for f in rest if f not in valid]}[split]
+
+
 def seeded_hash(seed: Column | int, *keys: Column | str) -> Column:
     """Order key of every seeded random order: md5 of ``seed|key|...``.
 

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitframe.constants import SEED_RESAMPLE
-from traitframe.functions.scoring import or_missing
-from traitframe.operators.joins import one_per_key, sized_join
+from traitframe.operators.joins import one_per_key
 from traitframe.operators.positions import hash_positions
 
 
@@ -198,12 +197,3 @@ def choose_omics(long: DataFrame, which: str | int) -> DataFrame:
     if which < 0 or which >= len(names):
         raise ValueError("the omics index is out of range")
     return long.where(F.col("omics") == names[which])
-
-
-def restrict_to(long: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the given samples; the ID table is broadcast when small enough."""
-    return sized_join(long, ids, ["ID"], "left_semi")
-
-
-def clean(long: DataFrame, column: str = "value") -> DataFrame:
-    return long.withColumn(column, or_missing(F.col(column)))

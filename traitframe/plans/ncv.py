@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitframe.constants import (
@@ -16,10 +16,20 @@ from traitframe.constants import (
     SEED_SPLIT,
     VARIANCE_THRESHOLD,
 )
-from traitframe.functions.folds import fold_role
+from traitframe.functions.folds import fold_role, fragments_of
 from traitframe.operators.folds import given_fragments, random_fragments, with_folds
 from traitframe.operators.joins import require_rows, sized_join
-from traitframe.operators.preprocess import FOLD, apply_steps, attach, fit_labels, fit_omics
+from traitframe.operators.preprocess import (
+    FOLD,
+    LABEL_STEPS,
+    OMICS_STEPS,
+    apply_steps,
+    attach,
+    fit_labels,
+    fit_omics,
+    steps_from_statistics,
+    table_statistics,
+)
 from traitframe.operators.samples import labels_as_omics, pad_samples, shared_omics_ids
 from traitframe.plans.forest import forest_steps
 from traitframe.session import new_path, stage
@@ -45,6 +55,8 @@ class Prepared:
     omics: DataFrame  # ... omics, feature_idx, feature, value
     labels: DataFrame | None  # ... label, y
     params: DataFrame  # fitted steps of omics and labels
+    base: DataFrame  # ID, copy_no, fragment, omics, feature_idx, feature, value: before any step
+    base_labels: DataFrame | None
 
 
 def shared_sample_ids(omics: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -109,7 +121,7 @@ def prepare_ncv(
     plan = with_folds(cut, k_outer, k_inner, only)
 
     params = None
-    placed_labels = None
+    placed_labels = as_omics = None
     if labels is not None:
         as_omics = attach(labels_as_omics(labels), cut, staged=True)
         if prepare_labels:
@@ -149,6 +161,8 @@ def prepare_ncv(
         omics=_split(ready_omics, k_outer, k_inner),
         labels=None if placed_labels is None else _split(placed_labels, k_outer, k_inner),
         params=params,
+        base=placed,
+        base_labels=as_omics,
     )
 
 
@@ -169,6 +183,43 @@ def write_prepared(prepared: Prepared, path: str) -> None:
     write_metadata(read_folds(spark, f"{path}/omics"), labels, prepared.samples, f"{path}/metadata")
 
 
+def write_once(prepared: Prepared, path: str) -> None:
+    """Write the samples once, by fragment, with the fitted steps, instead of once per fold.
+
+    A dataset of 10 x 5 folds then takes the room of one, and :func:`read_once`
+    applies the steps of the fold it is asked for.
+    """
+    for name, rows in (("omics", prepared.base), ("labels", prepared.base_labels)):
+        if rows is not None:
+            even = rows.hint("rebalance", F.col("fragment"))
+            even.write.option("compression", "zstd").partitionBy("fragment").parquet(f"{path}/{name}")
+    write_table(prepared.params, f"{path}/steps")
+
+
+def read_once(
+    spark: SparkSession, path: str, k_outer: int, k_inner: int, x_outer: int, x_inner: int, split: str, table: str = "omics"
+) -> DataFrame:
+    """One split of one fold from :func:`write_once`: its fragments only, with its steps applied.
+
+    A table without fitted steps comes back as it was written.
+    """
+    wanted = fragments_of(split, x_outer, x_inner, k_outer, k_inner)
+    rows = spark.read.parquet(f"{path}/{table}").where(F.col("fragment").isin(wanted))
+    rows = rows.withColumn("x_outer", F.lit(x_outer)).withColumn("x_inner", F.lit(x_inner)).withColumn("split", F.lit(split))
+    steps = spark.read.parquet(f"{path}/steps").where((F.col("x_outer") == x_outer) & (F.col("x_inner") == x_inner))
+    fitted = [r["omics"] for r in steps.select("omics").distinct().collect()]
+    raw = rows.where(~F.col("omics").isin(fitted))
+    return apply_steps(rows, steps, saved=True).select(*rows.columns).unionByName(raw)
+
+
+def fit_whole(omics: DataFrame, labels: DataFrame | None = None, threshold: float = VARIANCE_THRESHOLD) -> DataFrame:
+    """Steps fitted on every row of a dataset that is not split into folds."""
+    steps = steps_from_statistics(table_statistics(omics), OMICS_STEPS, threshold)
+    if labels is None:
+        return steps
+    return steps.unionByName(steps_from_statistics(table_statistics(labels_as_omics(labels)), LABEL_STEPS))
+
+
 def apply_preprocessors(omics: DataFrame, labels: DataFrame | None, params: DataFrame, path: str | None = None):
     """Apply saved steps to external data without fitting; optionally write it.
 
