@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from pathlib import Path
 
@@ -38,6 +39,8 @@ def test_query(spark, con, name):
     df = queries()[name](spark, str(DATA))
     got = df.collect()
     assert got
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas", plan)
     assert compare(name, got, df.columns, oracle_sql()[name], con) == ""
 
 

@@ -58,7 +58,8 @@ def with_folds(df: DataFrame, k_outer: int, k_inner: int, only: tuple[int, int]
         numbers = F.explode(F.sequence(F.lit(0), F.lit(k_outer * k_inner - 1)))
     else:
         fold_grid(df.sparkSession, k_outer, k_inner, only)  # checks the range
-        numbers = F.lit(only[0] * k_inner + only[1])
+        # not a literal: joins on the fold would lose their keys to constant folding
+        numbers = F.explode(F.array(F.lit(only[0] * k_inner + only[1])))
     rows = df.withColumn("_fold", numbers)
     outer = F.floor(F.col("_fold") / k_inner).cast("int")
     inner = (F.col("_fold") % k_inner).cast("int")
