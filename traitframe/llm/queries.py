@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, sql
+from traitframe.llm import host_rules, secrets, sql
 from traitframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +18,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda x: x["kind"] == kind)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE_RULES))
+    counts = [F.size(_of_kind(F.col("spans"), r.kind)).cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(_joined_spans(base), 256).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
