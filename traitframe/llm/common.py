@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import traitframe
 from traitframe.session import new_path
 
 # A word is a run of characters other than these
@@ -22,6 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it wherever it lies on the driver."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(traitframe.__file__).resolve().parent
+        archive = os.path.realpath(tempfile.mkdtemp()) + "/traitframe.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 @contextmanager
 def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
     """Within this block a write removes its shuffle files when it has ended."""
