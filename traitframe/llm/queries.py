@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, secrets, simhash, sql
+from traitframe.llm import host_rules, secrets, simhash, spaced_seeds, sql
 from traitframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined_spans(base), 256).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
 
 
+def op8_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash_components": op4_simhash_components,
     "op6_secret_scan": op6_secret_scan,
+    "op8_benchmark_overlaps": op8_benchmark_overlaps,
 }
 
 ORACLES: dict[str, str] = {
