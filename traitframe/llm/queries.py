@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, secrets, simhash, spaced_seeds, sql
+from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql
 from traitframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +32,9 @@ def _of_kind(spans: Column, kind: str) -> Column:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE_RULES))
-    counts = [F.size(_of_kind(F.col("spans"), r.kind)).cast("bigint").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < len(secret_scan.BASE_RULES))
+    counts = [F.size(_of_kind(F.col("spans"), r.kind)).cast("bigint").alias(f"n_{r.kind}") for r in secret_scan.BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(_joined_spans(base), 256).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
 
 
@@ -42,11 +42,16 @@ def op8_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash_components": op4_simhash_components,
     "op6_secret_scan": op6_secret_scan,
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLES: dict[str, str] = {
