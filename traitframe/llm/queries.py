@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql
+from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, token_files
 from traitframe.llm.common import table
+from traitframe.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +57,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_files": op3_token_files,
     "op4_simhash_components": op4_simhash_components,
     "op6_secret_scan": op6_secret_scan,
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
