@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, token_files
-from traitframe.llm.common import table
+from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, token_files, toxicity
+from traitframe.llm.common import crc_mod, table
 from traitframe.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=crc_mod("_id", 5) != 0)
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +63,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_simhash_components": op4_simhash_components,
     "op6_secret_scan": op6_secret_scan,

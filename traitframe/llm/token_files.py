@@ -13,16 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitframe.llm.common import map_arrow, save
-from traitframe.llm.words import ranges_hash, text_chunks, word_ranges
+from traitframe.llm.words import piece_ranges, ranges_hash, text_chunks
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 PARTITION_BYTES = 48 << 20
 CACHE_WORDS = 3_000_000
-_LETTER, _MARK = 1, 2
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[65:91] = _CLASS[97:123] = _LETTER
-_CLASS[[33, 34, 35, 36, 37, 38, 40, 41, 42, 43, 44, 45, 46, 47, 58, 59, 61, 63, 64, 91, 92, 93, 94, 95, 96, 123, 125, 126]] = _MARK
 
 # lengths and places of the four values behind one control byte, by table
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -87,7 +83,7 @@ class TextEncoder:
     def chunk(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk end to end, each closed by ``END_ID``, and their counts."""
         data = texts.data
-        start, end = self._pieces(data, texts.starts)
+        start, end = piece_ranges(data, texts.starts)
         hashes = ranges_hash(data, start, end)
         codes, fresh = pd.factorize(hashes)
         at = np.searchsorted(self.known, fresh)
@@ -117,13 +113,6 @@ class TextEncoder:
         out[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
         return out, counts + 1
 
-    @staticmethod
-    def _pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kind = _CLASS[data]
-        cut = np.flatnonzero((kind[1:] ^ kind[:-1] == _LETTER | _MARK) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
-        start, end = word_ranges(data, starts)
-        return np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
-
     @staticmethod
     def _special(texts) -> list[int]:
         data = texts.data

@@ -16,6 +16,11 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[str, np.ndarray] = {}
+_LETTER, _MARK = 1, 2
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[33:48] = _CLASS[58:65] = _CLASS[91:97] = _CLASS[123:127] = _MARK
+_CLASS[[39, 60, 62, 124]] = 0  # apostrophes, and the signs that special tokens are made of
 
 
 @dataclass
@@ -43,6 +48,11 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         row = last
 
 
+def lower_case(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[data]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -92,6 +102,18 @@ def word_ranges(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(fresh[:-1] & solid), np.flatnonzero(fresh[1:] & solid) + 1
 
 
+def piece_ranges(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the words, cut between ASCII letters and ASCII marks (apostrophes and ``<|>`` don't count as such)."""
+    kind = _CLASS[data]
+    cut = np.flatnonzero((kind[1:] ^ kind[:-1] == _LETTER | _MARK) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
+    start, end = word_ranges(data, starts)
+    if not len(cut):
+        return start, end
+    inner = np.searchsorted(start, cut, "right")  # only cuts inside a word; between texts there is one already
+    cut = cut[(inner > 0) & (cut > start[inner - 1]) & (cut < end[inner - 1])]
+    return np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
+
+
 @dataclass
 class Words:
     hash: np.ndarray
@@ -100,9 +122,9 @@ class Words:
     counts: np.ndarray  # words of each text
 
 
-def words_of(texts: Texts, lower: bool = True) -> Words:
-    """Hashes and ranges of all words; A-Z as a-z if ``lower``."""
-    data = _LOWER[texts.data] if lower else texts.data
-    start, end = word_ranges(data, texts.starts)
+def words_of(texts: Texts, lower: bool = True, pieces: bool = False) -> Words:
+    """Hashes and ranges of all words, or of their pieces; A-Z as a-z if ``lower``."""
+    data = lower_case(texts.data) if lower else texts.data
+    start, end = (piece_ranges if pieces else word_ranges)(data, texts.starts)
     counts = np.diff(np.searchsorted(start, texts.starts))
     return Words(ranges_hash(data, start, end), start, end, counts)
