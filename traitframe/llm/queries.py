@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, token_files, toxicity
+from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, token_files, toxicity, transcripts
 from traitframe.llm.common import crc_mod, table
 from traitframe.session import new_path
 
@@ -61,6 +61,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse_transcripts(table(spark, sf_dir, "conversations"), learn=crc_mod("conv_id", 5) != 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_secret_scan": op6_secret_scan,
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
     "op9_source_mix": op9_source_mix,
+    "op10_transcripts": op10_transcripts,
 }
 
 ORACLES: dict[str, str] = {
