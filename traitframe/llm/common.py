@@ -27,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -44,7 +45,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package on the executors, and Arrow batches bounded by bytes unless the session sets a bound."""
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(_BATCH_BYTES, str(16 << 20))
     return df.mapInArrow(run, schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, token_files, toxicity, transcripts
+from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts
 from traitframe.llm.common import crc_mod, table
 from traitframe.session import new_path
 
@@ -53,6 +53,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined_spans(base), 256).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
 
 
+def op7_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
     "op4_simhash_components": op4_simhash_components,
     "op6_secret_scan": op6_secret_scan,
+    "op7_long_repeats": op7_long_repeats,
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
     "op9_source_mix": op9_source_mix,
     "op10_transcripts": op10_transcripts,
