@@ -46,9 +46,13 @@ class Batch:
     number: int
     ids: np.ndarray
     flags: np.ndarray
+    named: np.ndarray  # whether the text has an id
     starts: np.ndarray
     data: np.ndarray
 
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, mask=~self.named)
+
     def chunks(self, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         row = 0
         while row < len(self.ids):
@@ -69,20 +73,20 @@ def pack_texts(rows: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
             texts = [b.column(2).cast(pa.large_binary()).fill_null(b"") for b in held]
             lengths = np.concatenate([np.diff(np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]) for t in texts])
             data = b"".join(x for t in texts for x in t.to_pylist())
-            ids, flags = (table.column(i).to_numpy() for i in (0, 1))
-            blob = pack(ids.astype(np.int64), flags.astype(np.uint8), np.concatenate(([0], np.cumsum(lengths))), np.frombuffer(data, np.uint8))
+            named = table.column(0).is_valid().to_numpy()
+            ids, flags = table.column(0).fill_null(0).to_numpy(), table.column(1).to_numpy()
+            blob = pack(ids.astype(np.int64), flags.astype(np.uint8), named.astype(np.uint8), np.concatenate(([0], np.cumsum(lengths))), np.frombuffer(data, np.uint8))
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([len(ids)]), pa.array([len(data)]), pa.array([blob], pa.binary())], ["batch", "n", "bytes", "texts"])
 
         for batch in batches:
+            lengths = np.diff(np.frombuffer(batch.column(2).cast(pa.large_binary()).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else np.zeros(0, np.int64)
             at = 0
             while at < batch.num_rows:
-                lengths = np.diff(np.frombuffer(batch.column(2).cast(pa.large_binary()).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else []
                 upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), batch_bytes - size, "right")))
-                piece = batch.slice(at, upto - at)
-                held.append(piece)
-                size += int(np.sum(lengths[at:upto]))
+                held.append(batch.slice(at, upto - at))
+                size += int(lengths[at:upto].sum())
                 at = upto
-                if size >= batch_bytes:
+                if size >= batch_bytes or at < batch.num_rows:
                     yield flush()
                     held, size, number = [], 0, number + 1
         if held:
@@ -92,8 +96,8 @@ def pack_texts(rows: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
 
 
 def read_batch(number: int, blob: bytes) -> Batch:
-    ids, flags, starts, data = unpack(blob, np.int64, np.uint8, np.int64, np.uint8)
-    return Batch(number, ids, flags.astype(bool), starts, data)
+    ids, flags, named, starts, data = unpack(blob, np.int64, np.uint8, np.uint8, np.int64, np.uint8)
+    return Batch(number, ids, flags.astype(bool), named.astype(bool), starts, data)
 
 
 def n_parts(batches: DataFrame, part_bytes: int = PART_BYTES) -> int:

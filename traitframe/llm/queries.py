@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts
+from traitframe.llm import host_rules, katz, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts
 from traitframe.llm.common import crc_mod, table
 from traitframe.session import new_path
 
@@ -46,6 +46,12 @@ def _of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda x: x["kind"] == kind)
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score_texts(table(spark, sf_dir, "documents"), learn=crc_mod("id", 7) != 2)
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < len(secret_scan.BASE_RULES))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_simhash_components": op4_simhash_components,
+    "op5_katz_scores": op5_katz_scores,
     "op6_secret_scan": op6_secret_scan,
     "op7_long_repeats": op7_long_repeats,
     "op8_benchmark_overlaps": op8_benchmark_overlaps,

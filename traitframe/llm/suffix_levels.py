@@ -236,7 +236,7 @@ def _digest(batch: Batch, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch:
     opens[a[a < len(gone)]] = gone[a[a < len(gone)]]
     spans = np.concatenate(([0], np.cumsum(opens)))
     left = [batch.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-    columns = [pa.array(batch.ids), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
+    columns = [batch.id_column(), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if keep_text:
         columns.append(pa.array(left, pa.binary()))
