@@ -86,6 +86,11 @@ def drop_saved(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside keys, so that no column name of a table meets a name used here; ``row.*`` gives them back."""
+    return docs.select(F.struct("*").alias("row"), *[column.alias(name) for name, column in keys.items()])
+
+
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitframe.llm.common import SPACE, SPACES, WORD, save, ship_package
+from traitframe.llm.common import SPACE, SPACES, WORD, boxed, save, ship_package
 from traitframe.operators.joins import sized_join
 
 SEED = 20
@@ -213,8 +213,13 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "mix-plan",
     )
     repeated = save(plan.groupBy(*keys).count().filter("count > 1").select(*keys), "repeated-rows")
-    key = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), place_of(F.col(doc_id), F.col(text), seed).alias("_place"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source")]
-    rows = docs.select("*", *key)
+    rows = boxed(
+        docs,
+        _id=F.coalesce(F.col(doc_id).cast("string"), F.lit("")),
+        _place=place_of(F.col(doc_id), F.col(text), seed),
+        _source=F.coalesce(F.col(source).cast("string"), F.lit("")),
+        _text=F.col(text),
+    )
     taken = plan.filter("_whole + _cut_words > 0")
     if repeated.isEmpty():
         met = rows.join(taken, keys)
@@ -229,9 +234,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pd.Series([cut_words(t, a, n) for t, a, n in zip(texts, first, count, strict=True)], dtype=object)
 
     ship_package(docs.sparkSession)
-    names = docs.columns
-    whole = met.filter("_whole > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole")))).select(*names)
-    cut = met.filter("_cut_words > 0").withColumn(text, F.explode(parts(F.col(text), "_cut_from", "_cut_words")))
-    if n_chars in names:
-        cut = cut.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return whole.unionByName(cut.select(*names))
+    whole = met.filter("_whole > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole")))).select("row.*")
+    cut = met.filter("_cut_words > 0").withColumn("_part", F.explode(parts("_text", "_cut_from", "_cut_words")))
+    row = F.col("row").withField(text, F.col("_part"))
+    if n_chars in docs.columns:
+        row = row.withField(n_chars, F.length("_part").cast(docs.schema[n_chars].dataType))
+    return whole.unionByName(cut.select(row.alias("row")).select("row.*"))

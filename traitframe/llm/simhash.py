@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitframe.llm.common import connected_components, map_arrow, save
+from traitframe.llm.common import boxed, connected_components, map_arrow, save
 from traitframe.llm.words import text_chunks
 from traitframe.operators.joins import sized_join
 
@@ -219,11 +219,12 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     found = simhash_components(docs, doc_id, text, **settings)
     ids = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_n")), "kept-ids")
-    kept = docs.join(ids.filter("_id = _least").select("_id"), F.col(doc_id).cast("long") == F.col("_id"), "left_semi")
-    repeated = ids.filter("_id = _least and _n > 1").select("_id")
+    keyed = boxed(docs, _id=F.col(doc_id).cast("long"), _text=F.col(text))
+    named = keyed.filter("_id is not null")
+    kept = sized_join(named, ids.filter("_id <> _least").select("_id"), ["_id"], "left_anti", staged=True)
+    repeated = save(ids.filter("_id = _least and _n > 1").select("_id"), "repeated-ids")
     if not repeated.isEmpty():
-        same = F.col(doc_id).cast("long") == F.col("_id")
-        first = Window.partitionBy(F.col(doc_id)).orderBy(F.col(text))
-        several = kept.join(repeated, same, "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
-        kept = kept.join(repeated, same, "left_anti").unionByName(several)
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+        first = Window.partitionBy("_id").orderBy("_text")
+        several = kept.join(repeated, "_id", "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
+        kept = kept.join(repeated, "_id", "left_anti").unionByName(several)
+    return kept.unionByName(keyed.filter("_id is null")).select("row.*")

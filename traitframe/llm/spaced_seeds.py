@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitframe.llm.common import map_arrow, save
+from traitframe.llm.common import boxed, map_arrow, save
 from traitframe.llm.words import mix, text_chunks, words_of
 from traitframe.operators.joins import sized_join
 
@@ -194,5 +194,5 @@ def benchmark_overlaps(
 
 def without_benchmark(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """``docs`` without those that repeat an item; rows without an id stay, as they can't be named."""
-    taken = save(benchmark_overlaps(docs, items, doc_id, **names).select(F.col("doc_id").alias("_taken")).distinct(), "contaminated")
-    return docs.join(taken, F.col(doc_id).cast("long") == F.col("_taken"), "left_anti")
+    taken = benchmark_overlaps(docs, items, doc_id, **names).select(F.col("doc_id").alias("_taken")).distinct()
+    return sized_join(boxed(docs, _taken=F.col(doc_id).cast("long")), taken, ["_taken"], "left_anti").select("row.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitframe.llm.common import map_arrow, save
+from traitframe.llm.common import boxed, map_arrow, save
 from traitframe.llm.words import Texts, lower_case, mix, ranges_hash, text_chunks, words_of
 from traitframe.operators.joins import sized_join
 
@@ -268,7 +268,7 @@ def judge(
     label: str = "toxic",
     **settings,
 ) -> DataFrame:
-    """``(doc_id, lang, score, threshold, rejected)``: one row per document.
+    """``(doc_id, lang, text_hash, score, threshold, rejected)``: one row per document.
 
     The classifier and the limits of each language learn from the documents with a label that meet
     ``learn``, a condition on the column ``_id``. Only the text enters a score; the language only chooses the
@@ -281,7 +281,7 @@ def judge(
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     chosen = learn if learn is not None else F.lit(True)
     model = fit(texts, known.filter(chosen), **settings)
-    scored = save(score(docs, model, [F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang")], text), "scores")
+    scored = save(score(docs, model, [F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")], text), "scores")
     trained = scored.withColumnRenamed("doc_id", "_id").join(known, "_id").filter(chosen)
     limits, common = thresholds(trained.select("lang", "score", "label"))
     limits = limits.withColumn("_key", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit(""))).drop("lang")
@@ -289,3 +289,11 @@ def judge(
     out = sized_join(keyed, limits, ["_key"], "left", salt_by=["doc_id"]).drop("_key")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(common)))
     return out.withColumn("rejected", F.col("score") >= F.col("threshold"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **settings) -> DataFrame:
+    """``docs``, all columns, without those that :func:`judge` rejects. A verdict hangs on text and language alone, so rows with and without id are treated alike."""
+    judged = judge(docs, labels, doc_id=doc_id, text=text, lang=lang, **settings)
+    gone = judged.filter("rejected").select(F.col("text_hash").alias("_hash"), F.coalesce("lang", F.lit("")).alias("_lang")).distinct()
+    keyed = boxed(docs, _hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))), _lang=F.coalesce(F.col(lang).cast("string"), F.lit("")))
+    return sized_join(keyed, gone, ["_hash", "_lang"], "left_anti").select("row.*")
