@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from traitframe.llm.common import map_arrow, save
 from traitframe.llm.words import CHUNK_BYTES, Texts
 
-BATCH_BYTES = 32 << 20
-PART_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 _CODEC = "zstd"
 
 

@@ -20,16 +20,27 @@ from pyspark.sql import functions as F
 
 from traitframe.llm.common import map_arrow, save
 from traitframe.llm.exchange import Batch, by_part, meet, n_parts, pack, pack_texts, read_batch, send, unpack, with_answers
-from traitframe.llm.words import mix, ranges_hash
+from traitframe.llm.words import Texts, mix, ranges_hash
 from traitframe.operators.joins import sized_join
 
 SPAN = 50
 DEPTH = 16
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _PLACE_BITS = 28
 _WORD = np.dtype(">u8")
 
 
+def in_order(high: np.ndarray, low: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
+    """Arrays sorted by the first, ties by the others in turn. Runs that are sorted already are merged, not sorted again."""
+    order = np.argsort(high, kind="stable")
+    sorted_high = high[order]
+    tie = sorted_high[1:] == sorted_high[:-1]
+    member = np.flatnonzero(np.concatenate(([False], tie)) | np.concatenate((tie, [False]))) if len(high) else order
+    own = order[member]
+    order[member] = own[np.lexsort((*(x[own] for x in rest[::-1]), low[own], high[own]))]
+    return [x[order] for x in (high, low, *rest)]
+
+
 class SuffixLevels:
     """Sorted runs of suffix keys (two words each), merged while the last is as large as the one before: sizes double from level to level."""
 
@@ -37,25 +48,34 @@ class SuffixLevels:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _merged(a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Union of two sorted runs without repeats, and for each key whether both had it."""
-        high, low = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
+    def merged(a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Union of two sorted runs without repeats, and for each key whether it came more than once."""
+        high, low = in_order(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))
         same = np.concatenate(((high[1:] == high[:-1]) & (low[1:] == low[:-1]), [False])) if len(high) else np.zeros(0, bool)
         first = ~np.concatenate(([False], same[:-1])) if len(high) else same
         return high[first], low[first], same[first]
 
     def scan(self, run: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a run that some level has."""
-        found = [(h[s], w[s]) for h, w, s in (self._merged(level, run) for level in self.levels)]
-        return np.concatenate([x[0] for x in found] or [run[0][:0]]), np.concatenate([x[1] for x in found] or [run[1][:0]])
+        """Keys of a run that some level has: first words are looked up, and where they meet both sides are merged in full."""
+        found = [(run[0][:0], run[1][:0])]
+        for high, low in self.levels:
+            at = np.searchsorted(high, run[0])
+            met = high[np.minimum(at, len(high) - 1)] == run[0]
+            if met.any():
+                words = np.unique(run[0][met])
+                there = words[np.minimum(np.searchsorted(words, high), len(words) - 1)] == high if len(words) * 8 > len(high) else None
+                if there is None:
+                    a, b = np.searchsorted(high, words), np.searchsorted(high, words, "right")
+                    there = np.arange(int((b - a).sum())) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+                h, w, both = self.merged((high[there], low[there]), (run[0][met], run[1][met]))
+                found.append((h[both], w[both]))
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
     def add(self, run: tuple[np.ndarray, np.ndarray]) -> None:
         self.levels.append(run)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             last, before = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merged(before, last)[:2])
+            self.levels.append(self.merged(before, last)[:2])
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,8 +125,7 @@ def _send_runs(parts: int, span: int):
             anchor, _, _, text = anchors(chunk.data, chunk.starts, span)
             kept.append((*suffix_keys(chunk.data, anchor), batch.ids[chunk.rows[text]]))
         high, low, doc = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else [np.zeros(0, np.uint64)] * 3
-        order = np.lexsort((doc, low, high))
-        high, low, doc = high[order], low[order], doc[order]
+        high, low, doc = in_order(high, low, doc)
         first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(high) else np.zeros(0, np.int64)
         last = np.concatenate((first[1:], [len(high)]))[: len(first)] - 1
         several = doc[first] != doc[last]  # the batch itself has the suffix in two documents
@@ -128,10 +147,10 @@ def _scan_runs(part: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int,
         runs.append((high, low))
     none = np.zeros(0, np.uint64)
     high, low = np.concatenate([t[0] for t in twice]), np.concatenate([t[1] for t in twice])
-    shared = SuffixLevels._merged((none, none), (high, low))
-    shared = SuffixLevels._merged(shared[:2], (none, none))[:2]
+    shared = SuffixLevels.merged((none, none), (high, low))
+    shared = SuffixLevels.merged(shared[:2], (none, none))[:2]
     for (batch, _), run in zip(rows, runs, strict=True):
-        high, low, both = SuffixLevels._merged(run, shared)
+        high, low, both = SuffixLevels.merged(run, shared)
         if both.any():
             yield batch, pack(high[both], low[both])
 
@@ -218,25 +237,27 @@ def _cut(span: int, keep_text: bool):
                     mask[number] = bits
                 every = (np.uint64(1) << blocks.count.astype(np.uint64)) - np.uint64(1)
                 bits = np.where(blocks.doc > blocks.least[blocks.number], every, mask[blocks.number]) if len(blocks.doc) else every
-                step = np.zeros(len(batch.data) + 1, np.int32)
-                for k in range(int(blocks.count.max(initial=0))):
-                    at = blocks.place[(bits >> np.uint64(k)) & np.uint64(1) == 1] + k
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + span, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                yield _digest(batch, gone, keep_text)
+                for chunk in batch.chunks(CHUNK):
+                    low, high = np.searchsorted(blocks.place, batch.starts[[chunk.rows[0], chunk.rows[-1] + 1]])
+                    place, own, size = blocks.place[low:high] - batch.starts[chunk.rows[0]], bits[low:high], len(chunk.data)
+                    step = np.zeros(size + 1, np.int32)
+                    for k in range(int(blocks.count[low:high].max(initial=0))):
+                        at = place[(own >> np.uint64(k)) & np.uint64(1) == 1] + k
+                        np.add.at(step, at, 1)
+                        np.add.at(step, at + span, -1)
+                    yield _digest(batch.id_column().slice(int(chunk.rows[0]), len(chunk.rows)), chunk, np.cumsum(step[:-1]) > 0, keep_text)
 
     return run
 
 
-def _digest(batch: Batch, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch:
-    a, b = batch.starts[:-1], batch.starts[1:]
+def _digest(ids: pa.Array, texts: Texts, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch:
+    a, b = texts.starts[:-1], texts.starts[1:]
     total = np.concatenate(([0], np.cumsum(gone)))
     opens = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
     opens[a[a < len(gone)]] = gone[a[a < len(gone)]]
     spans = np.concatenate(([0], np.cumsum(opens)))
-    left = [batch.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-    columns = [batch.id_column(), pa.array(b - a), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
+    left = [texts.data[x:y][~gone[x:y]].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    columns = [ids, pa.array(b - a), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if keep_text:
         columns.append(pa.array(left, pa.binary()))
