@@ -83,13 +83,13 @@ def logits(model: Model, tables: list[list[np.ndarray]], ids: np.ndarray, counts
 def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Fit by Adam on mini batches; only the places that won the max pooling pass a gradient down.
 
-    Labels are weighed so that both classes count alike. One class alone gives a constant model.
+    Labels are weighed so that both classes count alike, and a text without words is taught as label 0. One class alone gives a constant model.
     """
     rng = np.random.default_rng(seed)
     total = FILTERS * len(WIDTHS)
     model = Model(
-        np.vstack((rng.normal(0, 0.3, (BUCKETS, DIMENSIONS)), np.zeros((1, DIMENSIONS)))).astype(np.float32),
-        [rng.normal(0, 0.5 / np.sqrt(w), (w * DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS],
+        np.vstack((rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), np.zeros((1, DIMENSIONS)))).astype(np.float32),
+        [rng.normal(0, 1 / np.sqrt(w), (w * DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS],
         np.zeros(total, np.float32),
         np.concatenate((rng.normal(0, 0.3, total), [0.0])).astype(np.float32),
     )
@@ -98,16 +98,17 @@ def train(ids: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         model.weight[:] = 0
         model.weight[-1] = 4.0 if positive else -4.0
         return model
+    ids, labels = [*ids, np.zeros((ROWS, 0), np.int32)], np.append(labels, 0.0)  # the last, without words, is in every batch
     share = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive))
     dense = [*model.filters, model.bias, model.weight]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
     second = np.zeros(BUCKETS + 1, np.float32)
     step, epochs = 0, min(MAX_EPOCHS, max(EPOCHS, -(-MIN_STEPS * BATCH // len(ids))))
     for epoch in range(epochs):
-        order = rng.permutation(len(ids))
+        order = rng.permutation(len(ids) - 1)
         rate = RATE * (1 - 0.8 * epoch / epochs)
         for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
+            rows = np.append(order[at : at + BATCH], len(ids) - 1)
             counts = np.array([ids[r].shape[1] for r in rows])
             seq, first = padded(np.concatenate([ids[r] for r in rows], axis=1), counts)
             vectors = model.embedding[seq].sum(axis=0)
@@ -221,7 +222,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text")
             found = []
             for chunk in text_chunks(batch.column(0), limit=1 << 20):
                 z = logits(model, tables, *bucket_ids(chunk))
-                found.append(1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -500, 500))))
+                found.append(1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -30, 30))))
             scores = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*batch.schema.names[1:], "score"])
 

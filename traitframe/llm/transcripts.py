@@ -26,7 +26,6 @@ MARKERS = {
 _ROLE_OF = {name: role for role, names in MARKERS.items() for name in names}
 _MARKER = re.compile(r"\s*(?:[#>*\[<|_-]{0,4}\s*)(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")\s*(?:[\]>|*_]{0,3}\s*:|[\]>|]{1,3})[\]>|*_]{0,3}\s*", re.IGNORECASE)
 MARKER_WEIGHT = 200.0
-UNKNOWN_WEIGHT = 20.0
 CHUNK_TURNS = 256
 _S = len(ROLES)
 
@@ -107,14 +106,14 @@ def fit(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: st
             tables[r["f"]].setdefault(r["v"], np.zeros(_S))[at[r["r"]]] += r["n"]
     unknown = [at[r] for r in ROLES if not any(c["r"] == r for c in counts)]
     for name, values in tables.items():  # a role that was never seen looks like the others, but for its marker
-        total = sum(n.sum() for n in values.values())
-        for n in values.values() if name != "marker" and total else ():
-            n[unknown] = UNKNOWN_WEIGHT * n.sum() / total
+        for n in values.values() if name != "marker" else ():
+            n[unknown] = n.sum() / max(1, _S - len(unknown))
     features, unseen = {}, {}
     for name, values in tables.items():
-        total = sum(values.values(), np.zeros(_S)) + 0.5 * (len(values) + 1)
-        unseen[name] = np.log(0.5 / total)
-        features |= {(name, v): np.log((n + 0.5) / total) for v, n in values.items()}
+        least = 0.001 if name == "marker" else 0.5  # a line hardly ever names another role than its own
+        total = sum(values.values(), np.zeros(_S)) + least * (len(values) + 1)
+        unseen[name] = np.log(least / total)
+        features |= {(name, v): np.log((n + least) / total) for v, n in values.items()}
     stay = np.full((_S, _S), 0.01 / (_S - 1))
     np.fill_diagonal(stay, 0.99)
     return Model(np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True)), np.log(stay), features, unseen)
