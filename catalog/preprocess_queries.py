@@ -165,10 +165,21 @@ def t2(spark, sf):
     return forest.top_features(mean, 10).where("keep").select(*FOLD_FEATURE, F.col("rank").alias("rn"))
 
 
-@query("m1_forest_selection")
+# height is 20 x0 - 10 x40 + 5 x10: the first of table a is f00, that of table b f40
+@query("m1_forest_selection", "SELECT CAST(0 AS INT) AS x_outer, CAST(0 AS INT) AS x_inner, o AS omics, CAST(10 AS BIGINT) AS kept, f AS leading FROM (VALUES ('a', 'f00'), ('b', 'f40')) t(o, f)")
 def m1(spark, sf):
     done = ncv.prepare_ncv(
         i.omics_long(spark, sf), samples.melt_labels(i.wide_labels(spark, sf)).where("label = 'height'"), K_OUTER, K_INNER, only=(0, 0),
         forest=ncv.ForestSettings(n_features=10, n_trees=10, seeds=(42, 43), max_depth=5),
     )
-    return done.params.where("kind = 'forest'").select(*FOLD_FEATURE, "p1", "p2", "keep")
+    chosen = done.params.where("kind = 'forest' and keep")
+    return chosen.groupBy("x_outer", "x_inner", "omics").agg(F.count(F.lit(1)).alias("kept"), F.max_by("feature", "p1").alias("leading"))
+
+
+@query("s9_external_metadata", "SELECT omics, n AS omics_dim FROM (VALUES ('a', CAST(31 AS BIGINT)), ('b', CAST(32 AS BIGINT))) t(omics, n)")
+def s9_metadata(spark, sf):
+    """The metadata of an external dataset describes what was written: f31, a constant that the fold dropped, is not in it."""
+    path = new_path(spark, "s9-metadata")
+    steps = stage(pre.fit_omics(placed(spark, sf), K_OUTER, K_INNER, threshold=0.0, only=(0, 0)), "steps")
+    ncv.apply_preprocessors(i.omics_long(spark, sf), None, steps, path)
+    return spark.read.parquet(f"{path}/metadata/omics_dims").select("omics", "omics_dim")

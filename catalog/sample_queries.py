@@ -201,6 +201,17 @@ def j1_first(spark, sf):
     return samples.first_rows(rows, F.col("o_orderkey"))
 
 
+@query("j1_duplicate_ids_prepared", with_(i.OMICS) + "SELECT ID, omics, count(*) AS n_rows, round(max(value), 6) + 0e0 AS largest FROM omics GROUP BY ALL")
+def j1_prepared(spark, sf):
+    """Every tenth sample comes a second time with other values; its first rows count."""
+    from traitframe.plans.ncv import assemble
+
+    omics = i.omics_long(spark, sf)
+    again = omics.where(F.col("ID").cast("long") % 10 == 0).withColumn("value", F.col("value") + 1000)
+    rows = assemble(omics.unionByName(again), None)[0]
+    return rows.groupBy("ID", "omics").agg(F.count(F.lit(1)).alias("n_rows"), (F.round(F.max("value"), 6) + F.lit(0.0)).alias("largest"))
+
+
 @query(
     "j2_samples_with_labels",
     with_(i.OMICS, i.WIDE_LABELS)

@@ -169,3 +169,56 @@ def test_steps_of_a_whole_table(tables):
     assert {(r["lo"], r["hi"]) for r in ends.collect()} == {(0.0, 1.0)}
     z = ready_labels.agg(F.avg("y"), F.stddev_pop("y")).first()
     assert z[0] == pytest.approx(0, abs=1e-9) and z[1] == pytest.approx(1)
+
+
+def test_first_occurrence_of_a_repeated_sample(tables):
+    omics, _ = tables
+    again = omics.where("ID = 's05' and omics = 'a'").withColumn("value", F.lit(99.0))
+    kept, _ = ncv.assemble(omics.unionByName(again), None)
+    assert rows(kept) == rows(ncv.assemble(omics, None)[0])
+    done = ncv.prepare_ncv(omics.unionByName(again), None, 4, 3, only=(0, 0), prepare_omics=False, pad="none")
+    assert done.omics.where("ID = 's05'").count() == 6 and done.omics.agg(F.max("value")).first()[0] < 99
+
+
+def test_a_fold_that_was_not_fitted_is_an_error(spark, tables, tmp_path):
+    omics, labels = tables
+    ncv.write_once(ncv.prepare_ncv(omics, labels, 4, 3, only=(0, 0), pad="none"), f"{tmp_path}/d")
+    assert ncv.read_once(spark, f"{tmp_path}/d", 4, 3, 0, 0, "val").count() > 0
+    with pytest.raises(ValueError, match="not prepared"):
+        ncv.read_once(spark, f"{tmp_path}/d", 4, 3, 2, 1, "val")
+
+
+def test_external_data_with_other_features_is_an_error(tables):
+    omics, _ = tables
+    steps = ncv.fit_whole(omics)
+    with pytest.raises(ValueError, match="missing in the data: b.b1"):
+        ncv.apply_preprocessors(omics.where("feature <> 'b1'"), None, steps)
+    with pytest.raises(ValueError, match="without saved steps: a.new"):
+        ncv.apply_preprocessors(omics.unionByName(omics.where("feature = 'a0'").withColumn("feature", F.lit("new"))), None, steps)
+    # a table that isn't given is not missed
+    assert ncv.apply_preprocessors(omics.where("omics = 'a'"), None, steps)[0].count() > 0
+
+
+def test_more_trials_than_settings_are_an_error():
+    grid = {"l2": [0.1, 1.0], "elastic": [0.0]}
+    assert len(models.sample_trials(grid, 2, 1)) == 2
+    with pytest.raises(ValueError, match="3 trials"):
+        models.sample_trials(grid, 3, 1)
+
+
+@pytest.mark.parametrize("regression", [True, False])
+def test_saved_models_predict_the_same(spark, vecs, tmp_path, regression):
+    data = vecs if regression else vecs.withColumn("y", (F.col("y") > 0).cast("double"))
+    log, fitted = models.sweep(data, ["a", "b"], [(0, 0)], regression=regression, n_trials=1, path=str(tmp_path / "m"))
+    ours = models.predict_fold(data, log, fitted, 0, 0)
+    assert rows(models.predict_fold(data, log, None, 0, 0)) == rows(ours)
+    new = data.select("ID", "x_a", "x_b")
+    overall = models.predict_overall(new, log)
+    assert overall.columns == ["ID", "y_pred"] and overall.count() == data.count()
+
+
+def test_unlabelled_rows_do_not_count(spark):
+    full = [(1.0, 1.1), (2.0, 1.9), (4.0, 4.2)]
+    data = spark.createDataFrame([*full, (None, 50.0), (None, -3.0), (7.0, None)], "y double, y_pred double")
+    got, want = metrics.regression_metrics(data).first(), metrics.regression_metrics(spark.createDataFrame(full, "y double, y_pred double")).first()
+    assert got["n"] == 3 and tuple(got) == pytest.approx(tuple(want))

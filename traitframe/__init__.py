@@ -9,7 +9,7 @@ from traitframe.operators.preprocess import apply_steps, fit_labels, fit_omics
 from traitframe.operators.samples import melt_labels, melt_omics, pad_samples, shared_ids
 from traitframe.operators.trials import best_inner, best_overall, best_trials, inferior_trials, leaderboard
 from traitframe.plans.genotypes import encode_genotypes
-from traitframe.plans.models import fit_dual_extraction, predict_fold, sweep
+from traitframe.plans.models import DualExtraction, fit_dual_extraction, predict_fold, predict_overall, sweep
 from traitframe.plans.ncv import ForestSettings, apply_preprocessors, assemble, fit_whole, prepare_ncv, read_once, write_once, write_prepared
 from traitframe.plans.ranking import collect_ranks, rank_features, rank_outer_fold
 from traitframe.sources.folds import read_fold_tagged, read_folds, write_folds

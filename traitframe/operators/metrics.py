@@ -14,19 +14,22 @@ from traitframe.operators.positions import cut_points, sort_buckets
 def regression_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """MSE, MAE, Pearson correlation and R2 of ``y_pred`` against ``y`` per group.
 
-    Correlation and R2 need two rows and a label that varies; null otherwise.
+    Rows without a label or prediction don't count, in ``n`` neither. Correlation
+    and R2 need two rows and a label that varies; null otherwise.
     """
-    error = F.col("y_pred") - F.col("y")
-    many = F.count(F.lit(1)) > 1
-    spread = F.var_pop("y") * F.count(F.lit(1))
+    both = F.col("y").isNotNull() & F.col("y_pred").isNotNull()
+    y, y_pred = F.when(both, F.col("y")), F.when(both, F.col("y_pred"))
+    error = y_pred - y
+    n = F.count(error)
+    many = n > 1
     # corr() itself fails on a constant column in ANSI mode
-    pearson = F.try_divide(F.covar_pop("y", "y_pred"), F.sqrt(F.var_pop("y") * F.var_pop("y_pred")))
+    pearson = F.try_divide(F.covar_pop(y, y_pred), F.sqrt(F.var_pop(y) * F.var_pop(y_pred)))
     return predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+        n.alias("n"),
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
         F.when(many, pearson).alias("pearson"),
-        F.when(many, 1 - F.try_divide(F.sum(error * error), spread)).alias("r2"),
+        F.when(many, 1 - F.try_divide(F.sum(error * error), F.var_pop(y) * n)).alias("r2"),
     )
 
 

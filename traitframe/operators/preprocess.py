@@ -67,7 +67,6 @@ def combine_statistics(parts: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum("n").alias("n"),
         F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"),
         F.sum("dev").alias("_within"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_sq"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
         F.collect_list(F.struct("n", "mean")).alias("_parts"),

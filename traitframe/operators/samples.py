@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitframe.constants import SEED_RESAMPLE
-from traitframe.operators.joins import one_per_key
+from traitframe.operators.joins import one_per_key, sized_join
 from traitframe.operators.positions import hash_positions
+from traitframe.session import stage
 
 
 def name_id_column(df: DataFrame) -> DataFrame:
@@ -65,6 +66,23 @@ def first_rows(df: DataFrame, order: Column) -> DataFrame:
     return one_per_key(df, ["ID"], order)
 
 
+def first_occurrences(long: DataFrame) -> DataFrame:
+    """Long rows of the first occurrence, in file order, of every sample in every omics table.
+
+    A sample with more rows than its table has features came more than once. Only
+    rows of such samples are reduced; the others don't move.
+    """
+    features = long.select("omics", "feature").distinct().groupBy("omics").agg(F.count(F.lit(1)).alias("_features"))
+    rows = long.groupBy("ID", "omics").agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = stage(rows.join(features, "omics").where("_rows > _features").select("ID", "omics"), "repeated-ids")
+    if repeated.isEmpty():
+        return long
+    keys = ["ID", "omics"]
+    several = sized_join(long.withColumn("_row", F.monotonically_increasing_id()), repeated, keys, "left_semi", staged=True)
+    first = one_per_key(several, [*keys, "feature"], F.col("_row")).select(*long.columns)
+    return sized_join(long, repeated, keys, "left_anti", staged=True).unionByName(first)
+
+
 def shared_ids(*tables: DataFrame) -> DataFrame:
     """IDs present in every table, once each.
 

@@ -8,25 +8,26 @@ neural network it stands for; the numbers are its own. Training vectors are
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitframe.constants import TEST, TRAIN, TRIALS_PER_FOLD, VALID
 from traitframe.functions.scoring import argmax, cross_entropy
 from traitframe.operators.importance import squared_error
-from traitframe.operators.trials import best_trials, model_of_fold
+from traitframe.operators.trials import best_inner, best_overall, best_trials, model_of_fold
 
 DEFAULT_GRID: dict[str, list[float]] = {"l2": [0.001, 0.01, 0.1, 1.0], "elastic": [0.0, 0.5], "l2_integrated": [0.01, 0.1]}
-TRIALS = "x_outer int, x_inner int, trial_tag string, study_tag string, l2 double, elastic double, l2_integrated double, val_loss double, test_loss double"
+TRIALS = "x_outer int, x_inner int, trial_tag string, study_tag string, l2 double, elastic double, l2_integrated double, val_loss double, test_loss double, path string"
 
 
 def _scores(regression: bool, name: str) -> Column:
@@ -55,6 +56,22 @@ class DualExtraction:
     integrator: object = None
     weights: dict[str, float] = field(default_factory=dict)
 
+    def save(self, path: str) -> None:
+        """Write the models and weights below ``path``; :meth:`load` reads them in any session."""
+        names = [*self.omics, "concatenated"]
+        for k, model in enumerate([*(self.extractors[n] for n in names), self.integrator]):
+            model.write().overwrite().save(f"{path}/model-{k}")
+        about = json.dumps({"omics": self.omics, "regression": self.regression, "weights": self.weights})
+        SparkSession.active().createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> DualExtraction:
+        about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        kind = LinearRegressionModel if about["regression"] else LogisticRegressionModel
+        names = [*about["omics"], "concatenated"]
+        models = [kind.load(f"{path}/model-{k}") for k in range(len(names) + 1)]
+        return DualExtraction(about["omics"], about["regression"], dict(zip(names, models[:-1], strict=True)), models[-1], about["weights"])
+
     def outputs(self, data: DataFrame) -> DataFrame:
         """Score arrays ``s_<omics>``, ``s_concatenated`` and ``s_integrated``."""
         rows = _extract(self.extractors, concatenate(data, self.omics), self.regression)
@@ -100,12 +117,21 @@ def start_weights(omics: Sequence[str]) -> dict[str, float]:
 
 
 def least_squares_weights(outputs: DataFrame, names: Sequence[str]) -> dict[str, float]:
-    """Weights that fit ``y`` best on validation rows; a touch of ridge because outputs are alike."""
+    """Weights that fit ``y`` best; a touch of ridge because outputs are alike."""
     rows = _hidden(outputs, names)
     model = LinearRegression(featuresCol="x_hidden", labelCol="y", fitIntercept=False, regParam=1e-3, standardization=False).fit(rows)
     return dict(zip(names, model.coefficients.toArray().tolist(), strict=True))
 
 
+def class_weights(outputs: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """Weights of the outputs that best tell a row's class from its others: one logistic fit over (row, class)."""
+    scores = F.arrays_zip(*[F.col(f"s_{n}").alias(n) for n in names])
+    rows = outputs.select(F.col("y").cast("int").alias("_class"), F.posexplode(scores).alias("_k", "_s"))
+    rows = rows.select((F.col("_class") == F.col("_k")).cast("double").alias("y"), array_to_vector(F.array(*[F.col("_s")[n] for n in names])).alias("x_hidden"))
+    model = LogisticRegression(featuresCol="x_hidden", labelCol="y", regParam=1e-3).fit(rows)
+    return dict(zip(names, model.coefficients.toArray().tolist(), strict=True))
+
+
 def fit_dual_extraction(
     data: DataFrame,
     omics: Sequence[str],
@@ -116,9 +142,9 @@ def fit_dual_extraction(
     parts: int = 2,
     weights: str = "fit",
 ) -> DualExtraction:
-    """Fit on the training rows of one fold, weigh on its validation rows.
+    """Fit on the training rows of one fold; its validation rows are left for choosing among trials.
 
-    The integrator learns from out-of-fold outputs: fragments are dealt into
+    The integrator and the combination weights learn from out-of-fold outputs: fragments are dealt into
     ``parts``, and each part is scored by extractors that did not see it.
     """
     if weights not in ("fit", "start"):
@@ -137,11 +163,8 @@ def fit_dual_extraction(
     integrator = _learner("integrated", "x_hidden", regression, l2_integrated, 0.0).fit(stacked)
     model = DualExtraction(list(omics), regression, fit_extractors(train), integrator, start_weights(omics))
     if weights == "fit":
-        everything = [*names, "integrated"]
-        if regression:
-            model.weights = least_squares_weights(model.outputs(data.where(F.col("split") == VALID)), everything)
-        else:
-            model.weights = {n: 1.0 / len(everything) for n in everything}
+        seen = integrator.transform(stacked).withColumn("s_integrated", _scores(regression, "integrated"))
+        model.weights = (least_squares_weights if regression else class_weights)(seen.drop("x_hidden"), [*names, "integrated"])
     train.unpersist()
     return model
 
@@ -159,9 +182,11 @@ def split_losses(model: DualExtraction, data: DataFrame) -> dict[str, float]:
 
 
 def sample_trials(grid: dict[str, list[float]], n_trials: int, seed: int) -> list[dict[str, float]]:
-    """Distinct settings drawn from the grid."""
+    """Distinct settings drawn from the grid; more trials than it has settings are an error."""
     settings = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
-    return random.Random(seed).sample(settings, min(n_trials, len(settings)))
+    if n_trials > len(settings):
+        raise ValueError(f"{n_trials} trials asked for, the grid has {len(settings)} settings")
+    return random.Random(seed).sample(settings, n_trials)
 
 
 def sweep(
@@ -173,8 +198,12 @@ def sweep(
     grid: dict[str, list[float]] | None = None,
     seed: int = 42,
     study_tag: str = "sweep",
+    path: str | None = None,
 ) -> tuple[DataFrame, dict[str, DualExtraction]]:
-    """Trial log and fitted models by ``trial_tag``; each trial is a distributed fit."""
+    """Trial log and fitted models by ``trial_tag``; each trial is a distributed fit.
+
+    With ``path`` every model is saved below it, and the log's ``path`` says where.
+    """
     spark = vectors.sparkSession
     rows, models = [], {}
     for outer, inner in folds:
@@ -184,16 +213,37 @@ def sweep(
             loss = split_losses(model, data)
             tag = f"t{outer}_{inner}_{i}"
             models[tag] = model
-            rows.append((outer, inner, tag, study_tag, setting["l2"], setting["elastic"], setting["l2_integrated"], loss.get(VALID), loss.get(TEST)))
+            saved = None if path is None else f"{path}/{tag}"
+            if saved:
+                model.save(saved)
+            rows.append((outer, inner, tag, study_tag, setting["l2"], setting["elastic"], setting["l2_integrated"], loss.get(VALID), loss.get(TEST), saved))
         data.unpersist()
     return spark.createDataFrame(rows, TRIALS), models
 
 
-def predict_fold(vectors: DataFrame, trials: DataFrame, models: dict[str, DualExtraction], x_outer: int, x_inner: int) -> DataFrame:
-    """Predictions of the fold's best model for its three splits; ``ID`` is carried along."""
+def _predict(vectors: DataFrame, chosen, models: dict[str, DualExtraction] | None) -> DataFrame:
+    model = models[chosen["trial_tag"]] if models else DualExtraction.load(vectors.sparkSession, chosen["path"])
+    scored = model.transform(vectors)
+    keys = ("x_outer", "x_inner", "split", "ID", "copy_no", "y")
+    return scored.select(*[k for k in keys if k in scored.columns], "y_pred")
+
+
+def predict_fold(vectors: DataFrame, trials: DataFrame, models: dict[str, DualExtraction] | None, x_outer: int, x_inner: int) -> DataFrame:
+    """Predictions of the fold's best model for its three splits; ``ID`` is carried along.
+
+    Without ``models`` the model is read from the path in the trial log. Vectors
+    without fold columns, such as those of new samples, are predicted as a whole.
+    """
     chosen = model_of_fold(best_trials(trials), x_outer, x_inner).collect()
     if not chosen:
         raise ValueError(f"no trial for fold ({x_outer}, {x_inner})")
-    data = vectors.where((F.col("x_outer") == x_outer) & (F.col("x_inner") == x_inner))
-    scored = models[chosen[0]["trial_tag"]].transform(data)
-    return scored.select("x_outer", "x_inner", "split", "ID", "copy_no", *(["y"] if "y" in scored.columns else []), "y_pred")
+    data = vectors.where((F.col("x_outer") == x_outer) & (F.col("x_inner") == x_inner)) if "x_outer" in vectors.columns else vectors
+    return _predict(data, chosen[0], models)
+
+
+def predict_overall(vectors: DataFrame, trials: DataFrame, models: dict[str, DualExtraction] | None = None) -> DataFrame:
+    """Predictions of all given vectors by the best model of all folds."""
+    chosen = best_overall(best_inner(best_trials(trials))).first()
+    if chosen is None:
+        raise ValueError("no trial")
+    return _predict(vectors, chosen, models)

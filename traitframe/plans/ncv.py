@@ -27,10 +27,11 @@ from traitframe.operators.preprocess import (
     attach,
     fit_labels,
     fit_omics,
+    kept_features,
     steps_from_statistics,
     table_statistics,
 )
-from traitframe.operators.samples import labels_as_omics, pad_samples, shared_omics_ids
+from traitframe.operators.samples import first_occurrences, labels_as_omics, pad_samples, shared_omics_ids
 from traitframe.plans.forest import forest_steps
 from traitframe.session import new_path, stage
 from traitframe.sources.folds import read_folds, write_folds
@@ -73,7 +74,8 @@ def shared_sample_ids(omics: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def assemble(omics: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Restrict a long omics frame and labels to the samples all of them share."""
+    """Restrict a long omics frame and labels to the samples all of them share; of a repeated sample the first occurrence counts."""
+    omics = first_occurrences(omics)
     ids = shared_sample_ids(omics, labels)
     kept = sized_join(omics, ids, ["ID"], "left_semi", staged=True)
     return kept, None if labels is None else sized_join(labels, ids, ["ID"], "left_semi", staged=True)
@@ -99,13 +101,15 @@ def prepare_ncv(
     """All folds in one plan.
 
     ``codes`` names omics tables that hold genotype codes; they are not
-    preprocessed. ``pad='duplicate'`` adds resampled copies until the fragments
+    preprocessed. Of a sample that a table holds twice the first occurrence
+    counts. ``pad='duplicate'`` adds resampled copies until the fragments
     are even; copies of a sample may then land in different splits, which
     ``pad='none'`` avoids.
     """
     if pad not in ("duplicate", "none"):
         raise ValueError("pad must be 'duplicate' or 'none'")
     n_fragments = k_outer * k_inner
+    omics = first_occurrences(omics)
     ids = shared_sample_ids(omics, labels)
     if pad == "duplicate" and fragments is None:
         samples = pad_samples(ids, multiple_of=n_fragments, seed=seed_resample)
@@ -201,13 +205,18 @@ def read_once(
 ) -> DataFrame:
     """One split of one fold from :func:`write_once`: its fragments only, with its steps applied.
 
-    A table without fitted steps comes back as it was written.
+    A table without fitted steps in any fold comes back as it was written; a
+    fold that was not fitted is an error.
     """
     wanted = fragments_of(split, x_outer, x_inner, k_outer, k_inner)
     rows = spark.read.parquet(f"{path}/{table}").where(F.col("fragment").isin(wanted))
     rows = rows.withColumn("x_outer", F.lit(x_outer)).withColumn("x_inner", F.lit(x_inner)).withColumn("split", F.lit(split))
-    steps = spark.read.parquet(f"{path}/steps").where((F.col("x_outer") == x_outer) & (F.col("x_inner") == x_inner))
-    fitted = [r["omics"] for r in steps.select("omics").distinct().collect()]
+    saved = spark.read.parquet(f"{path}/steps")
+    folds = saved.select("x_outer", "x_inner", "omics").distinct().collect()  # one row per fold and table
+    fitted = sorted({r["omics"] for r in folds if (r["x_outer"], r["x_inner"]) == (x_outer, x_inner)})
+    if folds and not fitted:
+        raise ValueError(f"fold ({x_outer}, {x_inner}) was not prepared")
+    steps = saved.where((F.col("x_outer") == x_outer) & (F.col("x_inner") == x_inner))
     raw = rows.where(~F.col("omics").isin(fitted))
     return apply_steps(rows, steps, saved=True).select(*rows.columns).unionByName(raw)
 
@@ -223,12 +232,25 @@ def fit_whole(omics: DataFrame, labels: DataFrame | None = None, threshold: floa
 def apply_preprocessors(omics: DataFrame, labels: DataFrame | None, params: DataFrame, path: str | None = None):
     """Apply saved steps to external data without fitting; optionally write it.
 
-    Fails when a table has no saved steps.
+    Fails when a table or a feature has no saved steps, or the data lacks a feature
+    that a fold kept: vectors made of it would be shorter than the model's.
     """
-    known = {r["omics"] for r in params.select("omics").distinct().collect()}
-    wanted = {r["omics"] for r in omics.select("omics").distinct().collect()} | ({"label"} if labels is not None else set())
-    if not wanted <= known:
-        raise ValueError(f"no saved steps for {sorted(wanted - known)}")
+    given = omics.select("omics", "feature").distinct()
+    if labels is not None:
+        given = given.unionByName(labels_as_omics(labels).select("omics", "feature").distinct())
+    given = stage(given, "given-features")
+    known = params.groupBy("omics").agg(F.count(F.lit(1))).select("omics")
+    unknown = sorted(r["omics"] for r in given.select("omics").distinct().join(known, "omics", "left_anti").collect())
+    if unknown:
+        raise ValueError(f"no saved steps for {unknown}")
+    tables = given.select("omics").distinct()
+    for message, lack in (
+        ("features without saved steps", given.join(params.select("omics", "feature").distinct(), ["omics", "feature"], "left_anti")),
+        ("features missing in the data", kept_features(params).select("omics", "feature").distinct().join(tables, "omics", "left_semi").join(given, ["omics", "feature"], "left_anti")),
+    ):
+        some = [f"{r['omics']}.{r['feature']}" for r in lack.orderBy("omics", "feature").limit(5).collect()]
+        if some:
+            raise ValueError(f"{message}: {', '.join(some)}")
     ready = apply_steps(omics, params, saved=True)
     ready_labels = None
     if labels is not None:
@@ -239,5 +261,9 @@ def apply_preprocessors(omics: DataFrame, labels: DataFrame | None, params: Data
         write_table(ready, f"{path}/omics")
         if ready_labels is not None:
             write_table(ready_labels, f"{path}/labels")
-        write_metadata(omics, labels, omics.select("ID").distinct(), f"{path}/metadata")
+        # of what was written, not of what was given
+        spark = omics.sparkSession
+        written = spark.read.parquet(f"{path}/omics")
+        written_labels = None if ready_labels is None else spark.read.parquet(f"{path}/labels")
+        write_metadata(written, written_labels, written.select("ID").distinct(), f"{path}/metadata")
     return ready, ready_labels
