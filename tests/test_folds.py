@@ -90,3 +90,17 @@ def test_padding(spark):
     assert gaps.count() == 0
     with pytest.raises(ValueError):
         samples.pad_samples(ids, target=50)
+
+
+def test_buckets_are_even(spark):
+    df = spark.range(40_000).select(F.format_string("k%07d", F.col("id") * 7).alias("k"))
+    sizes = [r["count"] for r in positions.sort_buckets(df, "k", positions.cut_points(df, "k", 64)).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 40_000 / 64
+
+
+def test_buckets_are_even_in_every_group(spark):
+    # one group's keys lie close together: cut points of all keys would put them into few buckets
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 2 == 0, F.col("id") * 1e-9).otherwise(F.col("id") * 1.0).alias("k"))
+    cuts = positions.group_cut_points(df, "k", ["g"], 32)
+    sizes = positions.sort_buckets(df, "k", cuts, ["g"]).groupBy("g", "_bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 2 * 10_000 / 32

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitframe.functions.scoring import cross_entropy
-from traitframe.operators.positions import cut_points, sort_buckets
+from traitframe.operators.positions import group_cut_points, sort_buckets
 
 
 def regression_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -116,14 +116,14 @@ def auroc_by_class(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One-vs-rest area under the ROC curve per class, ties counted half.
 
     ``scores`` is (by..., cls, score, positive). Equal scores collapse into one
-    row first; the distinct scores are cut into ordered buckets, each bucket is
+    row first; the distinct scores of a class are cut into ordered, even buckets, each bucket is
     ranked on its own, and only bucket totals meet per class. Null when a class
     has no positive or no negative row.
     """
     group = [*by, "cls"]
     positive = F.col("positive").cast("bigint")
     levels = scores.groupBy(*group, "score").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("n"))
-    levels = sort_buckets(levels, "score", cut_points(levels, "score"))
+    levels = sort_buckets(levels, "score", group_cut_points(levels, "score", group), group)
     below = Window.partitionBy(*group, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = levels.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
     buckets = ranked.groupBy(*group, "_bucket").agg(

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitframe.constants import BROADCAST_ROWS, SALTS, TRAIN, VARIANCE_THRESHOLD
+from traitframe.functions.folds import fragments_of
 from traitframe.functions.scoring import or_missing
-from traitframe.operators.folds import with_folds
 from traitframe.operators.joins import sized_join
 
 FOLD = ["x_outer", "x_inner"]
@@ -81,9 +81,34 @@ def combine_statistics(parts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fold_statistics(long: DataFrame, k_outer: int, k_inner: int, only: tuple[int, int] | None = None) -> DataFrame:
-    """Training-row statistics of every feature in every fold."""
-    parts = with_folds(fragment_statistics(long), k_outer, k_inner, only)
-    return combine_statistics(parts.where(F.col("split") == TRAIN), [*FOLD, *FEATURE])
+    """Training-row statistics of every feature in every fold.
+
+    The fragments of a feature, at most ``k_outer * k_inner``, are gathered in one
+    row, and each fold picks its own from that row: nothing is repeated per fold before the shuffle.
+    """
+    parts = fragment_statistics(long)
+    gathered = parts.groupBy(*FEATURE).agg(F.collect_list(F.struct("fragment", "rows", "n", "mean", "dev", "lo", "hi")).alias("_all"))
+    folds = [(o, i) for o in range(k_outer) for i in range(k_inner) if only in (None, (o, i))]
+    grid = F.array(*[
+        F.struct(F.lit(o).alias("x_outer"), F.lit(i).alias("x_inner"), F.array(*[F.lit(f) for f in fragments_of(TRAIN, o, i, k_outer, k_inner)]).alias("_own"))
+        for o, i in folds
+    ])
+    rows = gathered.select("*", F.inline(grid))
+    rows = rows.withColumn("_parts", F.filter("_all", lambda p: F.array_contains(F.col("_own"), p["fragment"])))
+
+    def added(value, kind: str = "double") -> Column:
+        zero = F.lit(0).cast(kind)
+        return F.aggregate("_parts", zero, lambda acc, p: acc + F.coalesce(value(p).cast(kind), zero))
+
+    rows = rows.withColumns({"rows": added(lambda p: p["rows"], "bigint"), "n": added(lambda p: p["n"], "bigint")}).where("rows > 0")
+    rows = rows.withColumn("mean", F.try_divide(added(lambda p: p["n"] * p["mean"]), F.col("n")))
+    around = added(lambda p: p["dev"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return rows.select(
+        *FOLD, *FEATURE, "rows", "n", "mean",
+        F.when(F.col("n") > 0, F.try_divide(around, F.col("rows"))).alias("variance"),
+        F.array_min(F.transform("_parts", lambda p: p["lo"])).alias("lo"),
+        F.array_max(F.transform("_parts", lambda p: p["hi"])).alias("hi"),
+    )
 
 
 def table_statistics(long: DataFrame) -> DataFrame:
@@ -166,8 +191,13 @@ def apply_steps(
     from storage, so that counting it does not fit it again.
     """
     ready = compile_steps(params).where("keep").drop("keep")
-    on = [*(FOLD if set(FOLD) <= set(long.columns) else []), *FEATURE]
-    rows = sized_join(long, ready, on, salt_by=["ID"], salts=salts, max_rows=max_rows, staged=saved)
+    if set(FOLD) <= set(long.columns):
+        rows = sized_join(long, ready, [*FOLD, *FEATURE], salt_by=["ID"], salts=salts, max_rows=max_rows, staged=saved)
+    else:
+        # one row per feature with the steps of all its folds: the small side does not grow with the folds
+        folds = ready.groupBy(*FEATURE).agg(F.collect_list(F.struct(*FOLD, "fill", "shift", "divisor")).alias("_folds"))
+        rows = sized_join(long, folds, FEATURE, salt_by=["ID"], salts=salts, max_rows=max_rows, staged=saved)
+        rows = rows.select(*long.columns, F.inline("_folds"))
     value = F.coalesce(or_missing(F.col("value")), F.col("fill"))
     return rows.withColumn("value", (value - F.col("shift")) / F.col("divisor")).drop("fill", "shift", "divisor")
 
