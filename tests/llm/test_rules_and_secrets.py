@@ -71,7 +71,7 @@ def test_secrets_equal_a_plain_scan(spark, edge, edge_rows):
 def test_added_rules_and_digest(spark):
     text = "x -----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 20 + " https://user:secretpw@host token=abcdef99"
     found = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    assert {s["kind"] for s in found.first().spans} == {"private_key", "hosted_git", "login_url", "assign"}
+    assert {s["kind"] for s in found.first().spans} == {"private_key", "hosted_git", "login_url", "assign", "hex"}
     joined = found.select(queries._joined_spans(F.col("spans")).alias("s")).first().s
     assert f"private_key:2:{2 + len('-----BEGIN RSA PRIVATE KEY-----')}" in joined.split(",")
     assert hashlib.sha256(joined.encode()).hexdigest()

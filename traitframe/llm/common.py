@@ -63,7 +63,7 @@ def shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def save(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder all executors share, and read back.
 
     This cuts the lineage: a lost executor costs tasks of the running step only.
@@ -72,7 +72,7 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     spark = df.sparkSession
     path = new_path(spark, name)
     with shuffle_files_dropped(spark):
-        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out

@@ -88,14 +88,14 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 
 
 def trigram_postings(docs: DataFrame, trigrams: list[str], doc_id: str, text: str) -> DataFrame:
-    """The inverted index ``(trigram, doc_id)`` of the trigrams that some rule asks for, saved by trigram.
+    """The inverted index ``(doc_id, trigram)`` of the trigrams that some rule asks for, saved.
 
     The text is read in lower case, once; each trigram is looked for in the row,
     so nothing but postings is written.
     """
     low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low")).filter("doc_id is not null")
     hits = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return save(low.select("doc_id", F.explode(hits).alias("trigram")), "trigram-postings", partition_by=("trigram",))
+    return save(low.select("doc_id", F.explode(hits).alias("trigram")), "trigram-postings")
 
 
 def candidates(postings: DataFrame, rules: dict[int, list[frozenset[str]]]) -> DataFrame:
