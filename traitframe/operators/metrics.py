@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from traitframe.functions.scoring import cross_entropy
 from traitframe.operators.positions import group_cut_points, sort_buckets
+from traitframe.session import stage
 
 
 def regression_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -122,7 +123,8 @@ def auroc_by_class(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     group = [*by, "cls"]
     positive = F.col("positive").cast("bigint")
-    levels = scores.groupBy(*group, "score").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("n"))
+    # read twice, for cut points and for ranks; as columns of a table the groups join by key even if they were literals
+    levels = stage(scores.groupBy(*group, "score").agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("n")), "score-levels")
     levels = sort_buckets(levels, "score", group_cut_points(levels, "score", group), group)
     below = Window.partitionBy(*group, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = levels.withColumn("_below", F.coalesce(F.sum("n").over(below), F.lit(0)))
