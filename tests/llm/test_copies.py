@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from traitframe.llm import simhash, spaced_seeds, suffix_levels
+from traitframe.llm import similar, simhash, spaced_seeds, suffix_levels
 from traitframe.llm.common import connected_components
 
 
@@ -176,3 +176,50 @@ def test_two_substitutions_in_twelve_words_leave_a_seed():
     for a in range(12):
         for b in range(a):
             assert any({a, b}.isdisjoint(x + at for x in m) for m in masks for at in range(12 - m[-1]))
+
+
+def shingle_set(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar_groups(rows):
+    """Least id that links of Jaccard similarity 0.8 or more reach, over all pairs."""
+    rows = [(i, shingle_set(t)) for i, t in rows if i is not None]
+    least = [i for i, _ in rows]
+    near = [[j for j, (_, y) in enumerate(rows) if x == y or len(x & y) >= 0.8 * len(x | y) > 0] for _, x in rows]
+    while (after := [min(least[j] for j in n) for n in near]) != least:
+        least = after
+    return Counter(zip((i for i, _ in rows), least, strict=True))
+
+
+def test_edited_copies_equal_brute_force(spark, edge, edge_rows, nothing):
+    rng = np.random.default_rng(4)
+    rows, words = [(r[0], r[1]) for r in edge_rows], [f"w{i}" for i in range(3000)]
+    for family in range(12):
+        base = rng.choice(words, int(rng.integers(60, 400))).tolist()
+        for copy in range(8):
+            text = list(base)
+            for at in rng.choice(len(base), int(rng.integers(0, 2 + len(base) // 30)), replace=False):
+                text[at] = f"new{family}_{copy}_{at}"
+            rows.append((10_000 + 100 * family + copy, " ".join(text)))
+    for step in range(30):  # a chain: each is near the next only
+        rows.append((20_000 + step, " ".join(f"chain{i}" for i in range(5 * step, 5 * step + 100))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in similar.similar_components(docs).collect())
+    want = similar_groups(rows)
+    assert got == want and len({c for _, c in want}) < len(want) - 60
+    linked = {r.doc_id for r in simhash.keep_one_per_group(docs).collect()}
+    kept = {r.doc_id for r in similar.keep_one_per_similar_group(docs).collect()}
+    assert kept - {None} == {i for i, c in want if i == c} and len(kept) < len(linked)
+    assert similar.keep_one_per_similar_group(edge).columns == edge.columns
+    assert similar.keep_one_per_similar_group(nothing).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(200)]
+    edited = [*words[:50], "x", *words[51:150], "y", *words[151:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert abs(len(shingle_set(" ".join(words)) & shingle_set(" ".join(edited))) / 206 - 0.9) < 0.01
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [1, 3]

@@ -217,7 +217,11 @@ def keep_one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     Rows without an id can't be named as members of a group and stay. Of rows that share a kept id, the one of the least text stays.
     """
-    found = simhash_components(docs, doc_id, text, **settings)
+    return keep_least_ids(docs, simhash_components(docs, doc_id, text, **settings), doc_id, text)
+
+
+def keep_least_ids(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id is the least ``component_id`` that ``found(doc_id, component_id)`` gives it; one row for an id, and all rows without one."""
     ids = save(found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_n")), "kept-ids")
     keyed = boxed(docs, _id=F.col(doc_id).cast("long"), _text=F.col(text))
     named = keyed.filter("_id is not null")
