@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -223,3 +224,28 @@ def test_pipeline_drops_edited_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[::-1]))], "doc_id long, text string")
     assert abs(len(shingle_set(" ".join(words)) & shingle_set(" ".join(edited))) / 206 - 0.9) < 0.01
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("n", range(5, 12))
+def test_substitutions_in_short_items_leave_a_seed(n):
+    differ = n - int(np.ceil(0.8 * n - 1e-9))
+    masks = spaced_seeds.short_masks(n)
+    assert differ == (1 if n < 10 else 2) and min(map(len, masks)) >= 4
+    for gone in itertools.combinations(range(n), differ):
+        assert any(not set(gone) & set(m) for m in masks)
+
+
+def test_short_items_with_substituted_words_equal_brute_force(spark):
+    rng, words = np.random.default_rng(6), [f"w{i}" for i in range(400)]
+    items, docs = [], []
+    for n in range(5, 13):
+        item = rng.choice(words, n, replace=False).tolist()
+        items.append((n, " ".join(item)))
+        for differ in range(4):
+            for gone in itertools.combinations(range(n), differ):
+                text = ["zz" if i in gone else w for i, w in enumerate(item)]
+                pad = rng.choice(words, int(rng.integers(0, 5))).tolist()
+                docs.append((len(docs), " ".join([*pad, *text, *pad[1:]]).upper()))
+    got = spaced_seeds.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = overlaps(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and {i for _, i in want} == set(range(5, 13))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,25 @@ WINDOW = 12
 SIMILARITY = 0.8
 MIN_ITEM_WORDS = 5
 VERIFY_ROWS = 20_000
+SHORT_BLOCKS = 5
 _FILTER_BITS = (16, 28)
 
 
-def _mask_offsets(short: tuple[int, ...]) -> list[tuple[int, list[int]]]:
-    """(number, compared offsets) of the masks, and of one full mask for each length of short items."""
-    seeds = [(i, [k for k, c in enumerate(m) if c == "1"]) for i, m in enumerate(MASKS)]
-    return seeds + [(100 + n, list(range(n))) for n in short]
+def short_masks(n: int, similarity: float = SIMILARITY) -> list[list[int]]:
+    """Compared offsets in an item of ``n`` words, so that one mask at least lies on equal words if the given part of them is equal.
+
+    The words are cut into blocks. Substitutions touch one block each at most, so
+    the masks are all choices of as many blocks as stay untouched.
+    """
+    differ = n - max(1, math.ceil(similarity * n - 1e-9))
+    blocks = np.array_split(np.arange(n), min(n, max(SHORT_BLOCKS, differ + 3)) if differ else 1)
+    return [np.concatenate(kept).tolist() for kept in combinations(blocks, len(blocks) - differ)]
+
+
+def _mask_offsets(short: tuple[int, ...], similarity: float) -> list[tuple[int, int, list[int]]]:
+    """(number, item length, compared offsets) of the masks for long items, whose length is told as zero, and for each length of short ones."""
+    seeds = [(i, 0, [k for k, c in enumerate(m) if c == "1"]) for i, m in enumerate(MASKS)]
+    return seeds + [(1000 * n + i, n, offsets) for n in short for i, offsets in enumerate(short_masks(n, similarity))]
 
 
 def seed_hashes(words: np.ndarray, counts: np.ndarray, mask: int, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,21 +72,23 @@ def benchmark_words(items: DataFrame, item_id: str = "item_id", text: str = "tex
     return map_arrow(rows, run, "item_id long, n int, words binary").filter(F.col("n") >= MIN_ITEM_WORDS)
 
 
-def _item_seeds(short: tuple[int, ...]):
+def _item_seeds(short: tuple[int, ...], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = np.frombuffer(blob, np.uint64)
-                for mask, offsets in _mask_offsets(short):
-                    if (n < WINDOW) == (mask >= 100) and (mask < 100 or len(offsets) == n):
+                for mask, length, offsets in _mask_offsets(short, similarity):
+                    if length == (n if n < WINDOW else 0):
                         hashes, place = seed_hashes(words, np.array([n]), mask, offsets)
+                        if length:  # masks of short items lie at their first word only
+                            hashes, place = hashes[:1], place[:1]
                         columns = [pa.array(np.full(len(hashes), item)), pa.array(hashes.view(np.int64)), pa.array(place.astype(np.int32))]
                         yield pa.RecordBatch.from_arrays(columns, ["item_id", "seed", "item_at"])
 
     return run
 
 
-def _document_seeds(short: tuple[int, ...], filter_bits: bytes):
+def _document_seeds(short: tuple[int, ...], similarity: float, filter_bits: bytes):
     bits = np.frombuffer(filter_bits, np.uint8)
     low = np.uint64(len(bits) * 8 - 1)
 
@@ -83,7 +98,7 @@ def _document_seeds(short: tuple[int, ...], filter_bits: bytes):
             for chunk in text_chunks(batch.column(1)):
                 found = words_of(chunk)
                 first = np.concatenate(([0], np.cumsum(found.counts)))
-                for mask, offsets in _mask_offsets(short):
+                for mask, _, offsets in _mask_offsets(short, similarity):
                     hashes, place = seed_hashes(found.hash, found.counts, mask, offsets)
                     key = hashes & low
                     hit = (bits[(key >> np.uint64(3)).astype(np.int64)] >> (key & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -178,10 +193,10 @@ def benchmark_overlaps(
     """
     items = save(benchmark_words(items, item_id, item_text), "benchmark-words")
     short = tuple(sorted(r["n"] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect()))
-    seeds = save(map_arrow(items, _item_seeds(short), "item_id long, seed long, item_at int").distinct(), "benchmark-seeds")
+    seeds = save(map_arrow(items, _item_seeds(short, similarity), "item_id long, seed long, item_at int").distinct(), "benchmark-seeds")
     bits, _ = _filter_of(seeds)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    hits = save(map_arrow(rows, _document_seeds(short, bits), "doc_id long, seed long, doc_at int"), "seed-hits")
+    hits = save(map_arrow(rows, _document_seeds(short, similarity, bits), "doc_id long, seed long, doc_at int"), "seed-hits")
     pairs = sized_join(hits, seeds, ["seed"], salt_by=["doc_id"], staged=True)
     pairs = pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     pairs = sized_join(save(pairs, "aligned-pairs"), items.dropDuplicates(["item_id", "words"]), ["item_id"], salt_by=["doc_id"], max_rows=VERIFY_ROWS)
