@@ -47,3 +47,24 @@ SELECT r.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
        short OR repeats AS base_failed, NOT (short OR repeats) AND NOT host_failed AS kept
 FROM rules r JOIN verdict v ON r.source IS NOT DISTINCT FROM v.source
 """
+
+LINE_DEDUP = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+), split AS (
+  SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM docs
+), lines AS (
+  SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5
+), judged AS (
+  SELECT k.rid, k.i, k.line, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keep AS dropped FROM keyed k LEFT JOIN shared s USING (key)
+), done AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS kept
+  FROM judged GROUP BY rid
+)
+SELECT d.doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM done JOIN docs d USING (rid)
+"""
