@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, katz, line_filters, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts
+from traitframe.llm import host_rules, katz, line_filters, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts, whitening
 from traitframe.llm.common import crc_mod, table
 from traitframe.session import new_path
 
@@ -75,6 +75,11 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.parse_transcripts(table(spark, sf_dir, "conversations"), learn=crc_mod("conv_id", 5) != 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_filters.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
     "op9_source_mix": op9_source_mix,
     "op10_transcripts": op10_transcripts,
+    "op11_whitening": op11_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
 
