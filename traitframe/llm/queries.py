@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitframe.llm import host_rules, katz, line_filters, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts, whitening
+from traitframe.llm import alignment, host_rules, katz, line_filters, mixing, secret_scan, simhash, spaced_seeds, sql, suffix_levels, token_files, toxicity, transcripts, whitening
 from traitframe.llm.common import crc_mod, table
 from traitframe.session import new_path
 
@@ -80,6 +80,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *files)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_filters.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -97,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mix": op9_source_mix,
     "op10_transcripts": op10_transcripts,
     "op11_whitening": op11_whitening,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_line_dedup": op13_line_dedup,
 }
 
