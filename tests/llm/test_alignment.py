@@ -112,10 +112,10 @@ def test_empty_table(spark, nothing):
 
 @given(st.lists(st.text(alphabet="ab é\n 　中. ", max_size=9), min_size=1, max_size=8))
 @settings(max_examples=80, deadline=None)
-def test_fragments_compose_in_any_tree(parts):
+def test_fragments_compose_in_any_tree(tools, parts):
     """Left to right and right to left give the same ends, and the closed parts in place give the text."""
     data = [p.encode() for p in parts]
-    made = [Fragment.of(d) for d in data]
+    made = [Fragment.of(d, tools[2].safe) for d in data]
 
     def text(fragment, closed):
         return fragment.prefix + closed + (fragment.suffix or b"")

@@ -16,6 +16,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +29,52 @@ from traitframe.llm.words import text_chunks
 
 CHUNK_BYTES = 256 << 10  # longer texts are cut into byte ranges of this size
 FAN_IN = 16
-CACHE_UNITS = 150_000
+CACHE_UNITS = 400_000
 COUNT_ROWS = 4_000_000  # pairs of ids whose counts are broadcast
 SALTS = 32
 _UNDERLINE = "▁"
 _LAST = 1 << 62
 
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[33:127] = True
-_BREAK = np.zeros(256, bool)
-_BREAK[[10, 32]] = True
+_WIDE = 0xFF << 8 | 32  # a pair that no text holds: whether a space after a wider character may be cut from it
 
 
-def cut_places(data: np.ndarray) -> np.ndarray:
-    """Places where a space or line break follows a character that surely is no white space.
+def safe_pairs(pieces: list[str]) -> np.ndarray:
+    """Byte pairs, as ``before << 8 | after``, between which no token of either tokenizer can lie.
 
-    The byte-level tokenizer never joins such two characters, and the vocabulary
-    of pieces has none that does. Three-byte characters from E1 to E3 and two-byte
-    ones from C2, which may be spaces, never stand before a place.
+    The byte-level tokenizer takes letters, digits and other marks apart, and
+    white space goes to what follows it; an apostrophe may belong to the letter
+    after it. The piece tokenizer only joins neighbours that some piece holds.
     """
-    at = np.flatnonzero(_BREAK[data[1:]]) + 1
-    before = data[at - 1]
-    wide = (before >= 0x80) & (at >= 4)
-    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    wide &= (two != 0xC2) & ~((three >= 0xE1) & (three <= 0xE3))
-    return at[_VISIBLE[before] | wide]
+    kind = np.zeros(128, np.int8)  # 1 letter, 2 digit, 3 mark, 4 space and line break; 0 anything else
+    kind[[*range(65, 91), *range(97, 123)]], kind[48:58], kind[[10, 32]] = 1, 2, 4
+    kind[[c for c in range(33, 127) if not chr(c).isalnum()]] = 3
+    safe = np.zeros((256, 256), bool)
+    safe[:128, :128] = (kind[:, None] != kind[None, :]) & (kind[:, None] > 0) & (kind[None, :] > 0)
+    safe[[10, 32], :] = False
+    safe[39, [*range(65, 91), *range(97, 123)]] = False
+    for piece in pieces:
+        text = piece.replace(_UNDERLINE, " ")
+        for x, y in zip(text, text[1:], strict=False):
+            if x < "\x80" and y < "\x80":
+                safe[ord(x), ord(y)] = False
+    safe[0xFF, 32] = not any(x >= "\x80" and y == _UNDERLINE for piece in pieces for x, y in zip(piece.lstrip(_UNDERLINE), piece.lstrip(_UNDERLINE)[1:], strict=False))
+    return safe.ravel()
+
+
+def cut_places(data: np.ndarray, safe: np.ndarray) -> np.ndarray:
+    """Places between the byte pairs of ``safe``, and before spaces that follow a wider character that surely is none itself.
+
+    Three-byte characters from E1 to E3 and two-byte ones from C2 may be white
+    space, so nothing is cut after them.
+    """
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    found = safe[data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]]
+    at = np.flatnonzero((data[1:] == 32) & (data[:-1] >= 0x80)) + 1
+    at = at[at >= 4]
+    at = at[(data[at - 2] != 0xC2) & ~((data[at - 3] >= 0xE1) & (data[at - 3] <= 0xE3))]
+    found[at - 1] = safe[_WIDE]
+    return np.flatnonzero(found) + 1
 
 
 @dataclass(frozen=True)
@@ -63,9 +85,9 @@ class Fragment:
     suffix: bytes | None = None
 
     @staticmethod
-    def of(data: bytes) -> tuple[Fragment, bytes]:
+    def of(data: bytes, safe: np.ndarray) -> tuple[Fragment, bytes]:
         """The fragment of a byte range, and its closed units end to end."""
-        cuts = cut_places(np.frombuffer(data, np.uint8)) if data else ()
+        cuts = cut_places(np.frombuffer(data, np.uint8), safe)
         if not len(cuts):
             return Fragment(data), b""
         return Fragment(data[: cuts[0]], data[cuts[-1] :]), data[cuts[0] : cuts[-1]]
@@ -86,6 +108,25 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _byte_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens end to end, where each begins, and its length."""
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length
+
+
+def _gives_back(ids: np.ndarray, sizes: np.ndarray, table, want: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which units, end to end in ``want`` and ``wide`` bytes long, equal the bytes of their ids."""
+    flat, first, length = table
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    fine = np.bincount(owner, length[ids], len(sizes)).astype(np.int64) == wide
+    kept = ids[fine[owner]]
+    made = gather(flat, first[kept], length[kept])
+    whole = want if fine.all() else gather(want, np.cumsum(wide) - wide, np.where(fine, wide, 0))
+    ends = np.cumsum(np.where(fine, wide, 0))
+    fine[np.searchsorted(ends, np.flatnonzero(made != whole), "right")] = False
+    return fine
+
+
 class Aligner:
     """Ids of both tokenizers for texts, unit by unit; each different unit is encoded once and kept."""
 
@@ -106,11 +147,15 @@ class Aligner:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_UNDERLINE, " ").encode())
-        self.a_len, self.b_len = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
-        # places are safe only if no piece goes on after its first characters with a space, or holds a line break
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+            raise ValueError("vocabularies of up to 65,536 ids")
+        self.tables = {side: _byte_table(table) for side, table in (("a", self.a_bytes), ("b", self.b_bytes))}
+        self.a_len, self.b_len = self.tables["a"][2], self.tables["b"][2]
         normal = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        self.cuts = not any(_UNDERLINE in p.lstrip(_UNDERLINE) or "\n" in p for p in normal)
-        self.line_first = self.b.piece_to_id(_UNDERLINE)
+        self.space = self.b.piece_to_id(_UNDERLINE)
+        # a unit without a space before it is encoded behind a line break, which no piece may hold
+        self.behind = self.b.encode("\n")
+        self.safe = safe_pairs(normal) if not any("\n" in p for p in normal) else np.zeros(1 << 16, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -119,27 +164,39 @@ class Aligner:
         self.flat = {side: np.zeros(0, np.uint16) for side in "ab"}
         self.first = {side: np.zeros(1, np.int64) for side in "ab"}
 
+    def _pieces(self, texts: list[str]) -> list[list[int]]:
+        """Ids of the piece tokenizer, which puts a space before its text: units that begin with one go without it."""
+        spaced = [t[:1] == " " for t in texts]
+        found = self.b.encode([t[1:] if s else "\n" + t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
+        skip = len(self.behind)
+        # a sole space is a token of its own; the library gives none for an empty text
+        return [(ids or [self.space]) if s else ids[skip:] for ids, s in zip(found, spaced, strict=True)]
+
     def _learn(self, units: list[bytes]) -> None:
-        """Encode new units. The piece tokenizer puts a space before its text: units that begin with one go without it, others lose that token."""
+        """Encode new units."""
         texts = [u.decode("utf-8", "replace") for u in units]
-        spaced = [t.startswith(" ") for t in texts]
         a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] if s else t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
-        # a sole space is a token of its own; the library gives none for an empty text
-        b = [([self.line_first] if t == " " else ids) if s else (ids[1:] if ids[:1] == [self.line_first] else [0]) for t, ids, s in zip(texts, b, spaced, strict=True)]
-        fine = [b"".join(map(self.a_bytes.__getitem__, x)) == u == b"".join(map(self.b_bytes.__getitem__, y)) for u, x, y in zip(units, a, b, strict=True)]
-        for side, found in (("a", a), ("b", b)):
-            found = [x if f else () for x, f in zip(found, fine, strict=True)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.flat[side] = np.concatenate((self.flat[side], np.fromiter((i for x in found for i in x), np.uint16)))
-            self.first[side] = np.concatenate((self.first[side], self.first[side][-1] + np.cumsum(sizes)))
+        found = {"a": a, "b": self._pieces(texts)}
+        sizes = {side: np.fromiter(map(len, ids), np.int64, len(units)) for side, ids in found.items()}
+        flat = {side: np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes[side].sum())) for side, ids in found.items()}
+        want, fine = np.frombuffer(b"".join(units), np.uint8), np.ones(len(units), bool)
+        wide = np.fromiter(map(len, units), np.int64, len(units))
+        for side in "ab":
+            fine &= _gives_back(flat[side], sizes[side], self.tables[side], want, wide)
+        for side in "ab":
+            kept = np.where(fine, sizes[side], 0)
+            begin = np.cumsum(sizes[side]) - sizes[side]
+            self.flat[side] = np.concatenate((self.flat[side], gather(flat[side], begin, kept)))
+            self.first[side] = np.concatenate((self.first[side], self.first[side][-1] + np.cumsum(kept)))
         self.codes.update(zip(units, range(len(self.codes), len(self.codes) + len(units)), strict=True))
         self.fine = np.concatenate((self.fine, fine))
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
         """For byte strings laid end to end: whether each could be encoded, and by tokenizer all ids and how many each string has."""
-        cuts = cut_places(data) if self.cuts and len(data) else np.zeros(0, np.int64)
-        edges = np.union1d(cuts, starts)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[cut_places(data, self.safe)] = True
+        edge[starts] = True
+        edges = np.flatnonzero(edge)
         units = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
         different = coded.dictionary.to_pylist()
@@ -176,26 +233,43 @@ class Aligned:
 
     group_start: np.ndarray  # of each token of a: whether a group begins
     group_start_b: np.ndarray
-    links: np.ndarray  # a id << 32 | b id, by place
+    links: np.ndarray  # a id << 16 | b id, by place
     groups_of: np.ndarray  # by string
     links_of: np.ndarray
 
     @classmethod
     def of(cls, ids: dict[str, np.ndarray], counts: dict[str, np.ndarray], lengths: dict[str, np.ndarray]) -> Aligned:
-        # both sides cover the same bytes, string by string, so ends can be compared over all of them
+        # both sides cover the same bytes, string by string, so ends can be marked on one line of bytes
         ends = {side: np.cumsum(lengths[side][ids[side]]) for side in "ab"}
-        every = np.union1d(ends["a"], ends["b"])
-        at = {side: np.searchsorted(ends[side], every) for side in "ab"}
-        links = ids["a"][at["a"]].astype(np.int64) << 32 | ids["b"][at["b"]].astype(np.int64)
-        both = np.intersect1d(ends["a"], ends["b"], assume_unique=True)
+        size = int(ends["a"][-1]) if len(ends["a"]) else 0
+        marks, at = {}, {}
+        for side in "ab":
+            marks[side] = np.zeros(size + 1, bool)
+            marks[side][ends[side]] = True
+        both, every = marks["a"] & marks["b"], marks["a"] | marks["b"]
+        places = np.flatnonzero(every)
+        for side in "ab":
+            done = np.cumsum(marks[side][places])  # tokens that end here or before
+            at[side] = ids[side][done - marks[side][places]]
         opens = {}
         for side in "ab":
-            opens[side] = np.zeros(len(ends[side]), bool)
-            opens[side][:1] = True
-            opens[side][1:] = np.isin(ends[side][:-1], both, assume_unique=True)
-        size = np.concatenate(([0], np.cumsum(counts["a"])))
-        borders = np.concatenate(([0], ends["a"]))[size]  # bytes before each string
-        return cls(opens["a"], opens["b"], links, np.diff(np.searchsorted(both, borders, "right")), np.diff(np.searchsorted(every, borders, "right")))
+            opens[side] = np.ones(len(ends[side]), bool)
+            opens[side][1:] = both[ends[side][:-1]]
+        owner = np.searchsorted(ends["a"], places)  # the token of a that covers each link
+        string = np.repeat(np.arange(len(counts["a"])), counts["a"])
+        links_of = np.bincount(string[owner], minlength=len(counts["a"]))
+        groups_of = np.bincount(string[owner[both[places]]], minlength=len(counts["a"]))
+        return cls(opens["a"], opens["b"], at["a"].astype(np.uint32) << np.uint32(16) | at["b"], groups_of, links_of)
+
+
+def _pairs_of_rows(found: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different ``(pair, row)`` of some rows of tokens, sorted so, and how often each occurs."""
+    rows = np.repeat(np.arange(len(found.links_of), dtype=np.uint64), found.links_of)
+    keys = np.sort(found.links.astype(np.uint64) << np.uint64(32) | rows)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate((first, [len(keys)])))
+    keys = keys[first]
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), times
 
 
 def _joined(a: np.ndarray, b: np.ndarray, a_opens: np.ndarray, b_opens: np.ndarray) -> bytes:
@@ -263,11 +337,12 @@ def _encode_pieces(paths: tuple[str, str], batches: Iterator[pa.RecordBatch]) ->
 _FRAGMENTS = "rid long, chunk long, place long, prefix binary, suffix binary, closed binary"
 
 
-def _fragments(cuts: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fragments(paths: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each byte range: its open ends, and its closed units."""
+    safe = _aligner(paths).safe
     for batch in batches:
         for rid, chunk, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            found, closed = Fragment.of(data) if cuts else (Fragment(data), b"")
+            found, closed = Fragment.of(data, safe)
             yield _rows([(rid, chunk, 2 * chunk, found.prefix, found.suffix, closed)])
 
 
@@ -289,13 +364,13 @@ def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows([(rid, chunk, parts[0]["place"], whole.prefix, whole.suffix, None)])
 
 
-def _long_tokens(spark, long: DataFrame, paths: tuple[str, str], chunk_bytes: int, cuts: bool) -> DataFrame:
+def _long_tokens(spark, long: DataFrame, paths: tuple[str, str], chunk_bytes: int) -> DataFrame:
     """Tokens of long texts: byte ranges in tasks of their own, their open ends composed in a tree of ``FAN_IN``."""
     size = F.octet_length("data")
     chunk = F.posexplode(F.transform(F.sequence(F.lit(0), ((size - 1) / chunk_bytes).cast("int")), lambda k: F.substring("data", k * chunk_bytes + 1, F.lit(chunk_bytes))))
     ranges = long.select("rid", F.concat(F.lit(b" "), F.encode("text", "utf-8")).alias("data")).select("rid", chunk.alias("chunk", "piece"))
     dealt = ranges.select("rid", F.col("chunk").cast("long"), "piece").repartition("rid", "chunk")
-    made = save(map_arrow(dealt, partial(_fragments, cuts), _FRAGMENTS), "fragments")
+    made = save(map_arrow(dealt, partial(_fragments, paths), _FRAGMENTS), "fragments")
     closed = [made.filter(F.octet_length("closed") > 0).select("rid", "place", "closed")]
     now = made.select("rid", "chunk", "place", "prefix", "suffix")
     chunks = (made.agg(F.max("chunk")).first()[0] or 0) + 1
@@ -325,7 +400,7 @@ def tokens_of_both(docs: DataFrame, bytes_path: str, pieces_path: str, doc_id: s
     rows = save(docs.select(*columns).withColumn("long", F.octet_length("text") > chunk_bytes), "alignment-rows")
     paths = (bytes_path, pieces_path)
     short = map_arrow(rows.filter("not long").select("rid", "text"), partial(_encode_texts, paths), _TOKENS)
-    long = _long_tokens(spark, rows.filter("long").select("rid", "text"), paths, chunk_bytes, Aligner(*paths).cuts)
+    long = _long_tokens(spark, rows.filter("long").select("rid", "text"), paths, chunk_bytes)
     tokens = save(short.withColumn("long", F.lit(False)).union(long.withColumn("long", F.lit(True))), "alignment-tokens")
     return rows.select("rid", "doc_id", "long"), tokens
 
@@ -358,24 +433,16 @@ def _aligned_batches(lengths, columns: tuple[int, int], batches: Iterator[pa.Rec
 def _pair_counts(lengths, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For whole documents: how many of a batch hold each linked pair."""
     for _, _, _, found in _aligned_batches(lengths, (0, 1), batches):
-        rows = np.repeat(np.arange(len(found.links_of)), found.links_of)
-        order = np.lexsort((found.links, rows))
-        links, rows = found.links[order], rows[order]
-        first = np.ones(len(links), bool)
-        first[1:] = (links[1:] != links[:-1]) | (rows[1:] != rows[:-1])
-        pairs, n = np.unique(links[first], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+        pairs = _pairs_of_rows(found)[0]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[first]), pa.array(np.diff(np.concatenate((first, [len(pairs)]))))], ["pair", "n"])
 
 
 def _row_pairs(lengths, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(rid, pair, k)``: how often each row of tokens links each pair."""
     for part, _, _, found in _aligned_batches(lengths, (1, 2), batches):
-        rows = np.repeat(part.column(0).to_numpy(), found.links_of)
-        order = np.lexsort((found.links, rows))
-        links, rows = found.links[order], rows[order]
-        first = np.flatnonzero(np.concatenate(([True], (links[1:] != links[:-1]) | (rows[1:] != rows[:-1])))) if len(links) else np.zeros(0, np.int64)
-        times = np.diff(np.concatenate((first, [len(links)])))
-        yield pa.RecordBatch.from_arrays([pa.array(rows[first]), pa.array(links[first]), pa.array(times)], ["rid", "pair", "k"])
+        pairs, rows, times = _pairs_of_rows(found)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(pairs), pa.array(times)], ["rid", "pair", "k"])
 
 
 _SUMS = "rid long, place long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups binary"
@@ -387,7 +454,7 @@ def _measure(lengths, counted, hashed: bool, batches: Iterator[pa.RecordBatch])
         best, total = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         if counted is not None and len(found.links):
             pairs, n, top = counted.value
-            at = np.searchsorted(pairs, found.links)
+            at = np.searchsorted(pairs, found.links.astype(np.int64))
             owner = np.repeat(np.arange(len(part)), found.links_of)
             before = np.concatenate(([0], np.cumsum(n[at])))
             ends = np.cumsum(found.links_of)
@@ -448,7 +515,7 @@ def align_tokenizers(
     (ties included), ``count_sum`` adds up the counts over the links.
     ``groups_sha256`` is the digest of ``a1,a2|b1;a3|b2,b3``.
 
-    Texts that are null or empty, or that one of the tokenizers does not give
+    Vocabularies may have up to 65,536 ids. Texts that are null or empty, or that one of the tokenizers does not give
     back byte by byte, have no tokens: zeros and an empty digest. Repeated rows
     count each on their own. Columns other than the two named are not read. An empty table gives no rows.
 
@@ -465,8 +532,8 @@ def align_tokenizers(
     bad = tokens.filter("long and not fine").select("rid").distinct()
     good = save(tokens.filter("long").join(bad, "rid", "left_anti").unionByName(tokens.filter("not long")), "alignment-good") if not bad.isEmpty() else tokens
     pairs = save(linked_pairs(good, lengths), "alignment-pairs")
-    top = pairs.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
-    judged = pairs.withColumn("a", F.shiftright("pair", 32)).join(top, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
+    top = pairs.groupBy(F.shiftright("pair", 16).alias("a")).agg(F.max("n").alias("most"))
+    judged = pairs.withColumn("a", F.shiftright("pair", 16)).join(top, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
     few = pairs.count() <= count_rows
     counted = None
     if few:
