@@ -44,7 +44,8 @@ def omics_long(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-OMICS = """omics AS (
+# stored once: the filter on the statistics must not change the order of the joins
+OMICS = """omics AS MATERIALIZED (
   SELECT CAST(vec_id AS VARCHAR) AS ID, CASE WHEN i < 32 THEN 'a' ELSE 'b' END AS omics, CAST(i % 32 AS INT) AS feature_idx,
          'f' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature,
          CASE WHEN (vec_id * 31 + i) % 17 = 0 THEN NULL WHEN i = 31 THEN 1.0 ELSE CAST(embedding[i + 1] AS DOUBLE) END AS value
@@ -97,7 +98,7 @@ roles AS (
 STATS = """trained AS (
   SELECT r.x_outer, r.x_inner, t.omics, t.feature, t.value
   FROM omics t JOIN fragments f ON f.ID = t.ID JOIN roles r ON r.fragment = f.fragment WHERE r.split = 'trn'),
-stats AS (
+stats AS MATERIALIZED (
   SELECT x_outer, x_inner, omics, feature, count(*) AS n_rows, count(value) AS n, avg(value) AS mean,
          var_pop(value) * count(value) / count(*) AS variance, min(value) AS lo, max(value) AS hi
   FROM trained GROUP BY ALL)"""

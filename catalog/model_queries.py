@@ -12,7 +12,7 @@ from traitframe.functions.scoring import argmax
 from traitframe.operators import importance as imp
 from traitframe.operators import metrics, samples, trials
 from traitframe.operators.folds import random_fragments
-from traitframe.plans import models, ncv, ranking, vectors
+from traitframe.plans import hidden, models, ncv, ranking, vectors
 from traitframe.session import new_path, stage
 from traitframe.sources import folds as fold_files
 from traitframe.sources import sinks
@@ -356,35 +356,56 @@ def s13(spark, sf):
 
 KEYS = ["x_outer", "x_inner", "split", "ID", "copy_no"]
 UNPADDED = with_(i.SAMPLES, i.FRAGMENTS, i.ROLES).replace("md5('42|' || ID)", "md5('42|' || ID || '|0')")
-FOLD_00 = "FROM fragments f JOIN roles r USING (fragment) WHERE r.x_outer = 0 AND r.x_inner = 0"
-PREDICTED = UNPADDED + f"SELECT r.x_outer, r.x_inner, r.split, f.ID, CAST(0 AS INT) AS copy_no, true AS predicted {FOLD_00}"
+ALL_FOLDS = "FROM fragments f JOIN roles r USING (fragment)"
+PREDICTED = UNPADDED + f"SELECT r.x_outer, r.x_inner, r.split, f.ID, CAST(0 AS INT) AS copy_no, true AS predicted {ALL_FOLDS}"
 
 
-def _prepared(spark, sf, only=(0, 0), label="height"):
+def _prepared(spark, sf, only=None, label="height"):
     labels = samples.melt_labels(i.wide_labels(spark, sf)).where(F.col("label") == label)
     return ncv.prepare_ncv(i.omics_long(spark, sf), labels, K_OUTER, K_INNER, only=only, pad="none", prepare_labels=label == "height")
 
 
 def _vectors(spark, sf, done=None, **settings):
-    """Prepared vectors of one fold; every sample is in it."""
+    """Prepared vectors of every fold; every sample is in each."""
     done = done or _prepared(spark, sf, **settings)
     keys = [*KEYS, "fragment"]
     return stage(vectors.sample_vectors(done.omics, keys, ["a", "b"]).join(done.labels.select(*keys, "y"), keys), "vectors")
 
 
-@query("m4_dual_extraction", UNPADDED + f"SELECT r.split, count(*) AS n, true AS beats_mean {FOLD_00} GROUP BY r.split")
+HEIGHT = hidden.Layout(("a", "b"), ("y",), hidden=32, hidden_all=64)
+GRADE = hidden.Layout(("a", "b"), ("y",), classes=10, hidden=32, hidden_all=64)
+
+
+@query("m4_dual_extraction", UNPADDED + f"SELECT r.x_outer, r.x_inner, r.split, count(*) AS n, true AS beats_mean {ALL_FOLDS} GROUP BY ALL")
 def m4(spark, sf):
     data = _vectors(spark, sf)
-    model = models.fit_dual_extraction(data, ["a", "b"])
-    return metrics.regression_metrics(model.transform(data), ["split"]).select("split", "n", (F.col("r2") > 0.5).alias("beats_mean"))
+    model = hidden.best_models(hidden.sweep_hidden(data, HEIGHT, n_trials=2))
+    scored = metrics.regression_metrics(hidden.predict_hidden(data, model, HEIGHT), ["x_outer", "x_inner", "split"])
+    return scored.select("x_outer", "x_inner", "split", "n", (F.col("r2") > 0.5).alias("beats_mean"))
 
 
-@query("m4_dual_extraction_classes", UNPADDED + f"SELECT r.split, count(*) AS n, true AS all_in_classes {FOLD_00} GROUP BY r.split")
+@query("m4_dual_extraction_classes", UNPADDED + f"SELECT r.x_outer, r.x_inner, r.split, count(*) AS n, true AS all_in_classes {ALL_FOLDS} GROUP BY ALL")
 def m4_classes(spark, sf):
     data = _vectors(spark, sf, label="grade")
-    model = models.fit_dual_extraction(data, ["a", "b"], regression=False)
+    model = hidden.best_models(hidden.sweep_hidden(data, GRADE, n_trials=2))
     inside = F.bool_and(F.col("y_pred").between(0, F.size("scores") - 1) & (F.col("y_pred") == F.floor("y_pred")))
-    return model.transform(data).groupBy("split").agg(F.count(F.lit(1)).alias("n"), inside.alias("all_in_classes"))
+    scored = hidden.predict_hidden(data, model, GRADE).groupBy("x_outer", "x_inner", "split")
+    return scored.agg(F.count(F.lit(1)).alias("n"), inside.alias("all_in_classes"))
+
+
+@query("m4_dual_extraction_traits", UNPADDED + f"SELECT r.x_outer, r.x_inner, r.split, count(*) AS n, true AS height_beats_mean, true AS grade_predicted {ALL_FOLDS} GROUP BY ALL")
+def m4_traits(spark, sf):
+    """Two traits in one fit, each a label column."""
+    done = ncv.prepare_ncv(i.omics_long(spark, sf), samples.melt_labels(i.wide_labels(spark, sf)), K_OUTER, K_INNER, pad="none")
+    keys = [*KEYS, "fragment"]
+    traits = done.labels.groupBy(*keys).pivot("label", ["height", "grade"]).agg(F.first("y"))
+    data = stage(vectors.sample_vectors(done.omics, keys, ["a", "b"]).join(traits, keys), "vectors")
+    layout = hidden.Layout(("a", "b"), ("height", "grade"), hidden=32, hidden_all=64)
+    found = hidden.predict_hidden(data, hidden.best_models(hidden.sweep_hidden(data, layout, n_trials=2)), layout)
+    folds = ["x_outer", "x_inner", "split"]
+    scored = metrics.regression_metrics(found.select(*folds, F.col("height").alias("y"), F.col("y_pred_height").alias("y_pred")), folds)
+    told = found.groupBy(*folds).agg(F.bool_and(F.col("y_pred_grade").isNotNull()).alias("grade_predicted"))
+    return scored.join(told, folds).select(*folds, "n", (F.col("r2") > 0.5).alias("height_beats_mean"), "grade_predicted")
 
 
 COMBINED = """SELECT vec_id, round(0.25e0 * (embedding[1] + 0e0) + 0.25e0 * (embedding[2] + 0e0) + 1.5e0 * (embedding[3] + 0e0) + 0.5e0 * (embedding[4] + 0e0), 6) + 0e0 AS y_pred FROM embeddings"""
@@ -400,39 +421,44 @@ def m5(spark, sf):
 
 @query(
     "m6_sweep",
-    "SELECT CAST(0 AS INT) AS x_outer, CAST(0 AS INT) AS x_inner, 't0_0_' || i AS trial_tag, true AS has_losses, true AS winner_is_least FROM range(2) t(i)",
+    f"""SELECT CAST(o AS INT) AS x_outer, CAST(n AS INT) AS x_inner, 't' || o || '_' || n || '_' || k AS trial_tag, true AS has_losses, true AS winner_is_least
+    FROM range({K_OUTER}) a(o), range({K_INNER}) b(n), range(10) c(k)""",
 )
 def m6(spark, sf):
-    log, _ = models.sweep(_vectors(spark, sf), ["a", "b"], [(0, 0)], n_trials=2)
+    """Ten trials in every fold: one pass over the rows, one factorisation for all penalties of a fold."""
+    log = hidden.sweep_hidden(_vectors(spark, sf), HEIGHT, n_trials=10)
     best = trials.best_trials(log).select("x_outer", "x_inner", F.col("val_loss").alias("least"))
     rows = log.join(best, ["x_outer", "x_inner"])
     return rows.select("x_outer", "x_inner", "trial_tag", (F.col("val_loss").isNotNull() & F.col("test_loss").isNotNull()).alias("has_losses"), (F.col("least") <= F.col("val_loss")).alias("winner_is_least"))
 
 
-def _swept(spark, sf, path=None):
-    data = _vectors(spark, sf)
-    return data, *models.sweep(data, ["a", "b"], [(0, 0)], n_trials=1, path=path)
-
-
 @query("m8_predict_fold", PREDICTED)
 def m8(spark, sf):
-    return models.predict_fold(*_swept(spark, sf), 0, 0).select(*KEYS, F.col("y_pred").isNotNull().alias("predicted"))
+    """Every fold by the best of its three models."""
+    data = _vectors(spark, sf)
+    log = hidden.sweep_hidden(data, HEIGHT, n_trials=3)
+    return hidden.predict_hidden(data, hidden.best_models(log), HEIGHT).select(*KEYS, F.col("y_pred").isNotNull().alias("predicted"))
 
 
 @query("m8_predict_saved", PREDICTED)
 def m8_saved(spark, sf):
-    """The model as read from the path in the trial log predicts what the fitted one does."""
-    data, log, fitted = _swept(spark, sf, new_path(spark, "models"))
-    ours = models.predict_fold(data, log, fitted, 0, 0)
-    again = models.predict_fold(data, log, None, 0, 0).select(*KEYS, F.col("y_pred").alias("again"))
+    """The models as read from their path predict what the fitted ones do."""
+    data, path = _vectors(spark, sf), new_path(spark, "models")
+    log = hidden.sweep_hidden(data, HEIGHT, n_trials=2, path=path)
+    ours = hidden.predict_hidden(data, hidden.best_models(log), HEIGHT).select(*KEYS, "y_pred")
+    read, layout = hidden.load_hidden(spark, path)
+    again = hidden.predict_hidden(data, hidden.best_models(read), layout).select(*KEYS, F.col("y_pred").alias("again"))
     return ours.join(again, KEYS).select(*KEYS, (F.col("y_pred") == F.col("again")).alias("predicted"))
 
 
 @query("m8_predict_overall", "SELECT CAST(vec_id AS VARCHAR) AS ID, true AS predicted FROM embeddings")
 def m8_overall(spark, sf):
-    """Samples without folds, by the best of all models, read from its path."""
-    data, log, _ = _swept(spark, sf, new_path(spark, "models"))
-    return models.predict_overall(data.select("ID", "x_a", "x_b"), log).select("ID", F.col("y_pred").isNotNull().alias("predicted"))
+    """Samples without folds, by the best of the models of all folds."""
+    data = _vectors(spark, sf)
+    best = hidden.best_models(hidden.sweep_hidden(data, HEIGHT, n_trials=2), overall=True)
+    # every sample is in every fold; one fold's scaling stands for that of new samples
+    new = data.join(best.select("x_outer", "x_inner"), ["x_outer", "x_inner"], "left_semi").select("ID", "x_a", "x_b")
+    return hidden.predict_hidden(new, best, HEIGHT).select("ID", F.col("y_pred").isNotNull().alias("predicted"))
 
 
 @query(
@@ -440,7 +466,7 @@ def m8_overall(spark, sf):
     "SELECT CAST(0 AS INT) AS place, 'a' AS omics, 'f00' AS feature UNION ALL SELECT 1, 'b', 'f40' UNION ALL SELECT 2, 'a', 'f10'",
 )
 def m9_rank(spark, sf):
-    done = _prepared(spark, sf)
+    done = _prepared(spark, sf, (0, 0))
     data = _vectors(spark, sf, done)
     log, fitted = models.sweep(data, ["a", "b"], [(0, 0)], n_trials=1)
     ranked = ranking.rank_outer_fold(data, log, fitted, vectors.feature_order(done.omics), 0, SEEDS)

@@ -14,10 +14,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,15 @@ def _scores(regression: bool, name: str) -> Column:
     return F.array(F.col(f"_prediction_{name}")) if regression else vector_to_array(F.col(f"_raw_{name}"))
 
 
-def _learner(name: str, features: str, regression: bool, l2: float, elastic: float):
+LEARNERS = ("linear", "trees")
+
+
+def _learner(name: str, features: str, regression: bool, l2: float, elastic: float, kind: str = "linear"):
+    if kind == "trees":
+        settings = {"featuresCol": features, "labelCol": "y", "predictionCol": f"_prediction_{name}", "numTrees": 30, "maxDepth": 6, "seed": 42}
+        if regression:
+            return RandomForestRegressor(**settings)
+        return RandomForestClassifier(rawPredictionCol=f"_raw_{name}", probabilityCol=f"_probability_{name}", **settings)
     if regression:
         return LinearRegression(
             featuresCol=features, labelCol="y", predictionCol=f"_prediction_{name}", regParam=l2, elasticNetParam=elastic
@@ -55,13 +63,14 @@ class DualExtraction:
     extractors: dict[str, object] = field(default_factory=dict)
     integrator: object = None
     weights: dict[str, float] = field(default_factory=dict)
+    learner: str = "linear"
 
     def save(self, path: str) -> None:
         """Write the models and weights below ``path``; :meth:`load` reads them in any session."""
         names = [*self.omics, "concatenated"]
         for k, model in enumerate([*(self.extractors[n] for n in names), self.integrator]):
             model.write().overwrite().save(f"{path}/model-{k}")
-        about = json.dumps({"omics": self.omics, "regression": self.regression, "weights": self.weights})
+        about = json.dumps({"omics": self.omics, "regression": self.regression, "weights": self.weights, "learner": self.learner})
         SparkSession.active().createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
@@ -69,8 +78,11 @@ class DualExtraction:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
         kind = LinearRegressionModel if about["regression"] else LogisticRegressionModel
         names = [*about["omics"], "concatenated"]
-        models = [kind.load(f"{path}/model-{k}") for k in range(len(names) + 1)]
-        return DualExtraction(about["omics"], about["regression"], dict(zip(names, models[:-1], strict=True)), models[-1], about["weights"])
+        learner = about.get("learner", "linear")
+        forest = RandomForestRegressionModel if about["regression"] else RandomForestClassificationModel
+        extractors = {n: (forest if learner == "trees" else kind).load(f"{path}/model-{k}") for k, n in enumerate(names)}
+        integrator = kind.load(f"{path}/model-{len(names)}")
+        return DualExtraction(about["omics"], about["regression"], extractors, integrator, about["weights"], learner)
 
     def outputs(self, data: DataFrame) -> DataFrame:
         """Score arrays ``s_<omics>``, ``s_concatenated`` and ``s_integrated``."""
@@ -141,19 +153,25 @@ def fit_dual_extraction(
     l2_integrated: float = 0.1,
     parts: int = 2,
     weights: str = "fit",
+    learner: str = "linear",
 ) -> DualExtraction:
     """Fit on the training rows of one fold; its validation rows are left for choosing among trials.
 
+    ``learner`` is the kind of the extractors: ``linear``, or ``trees`` (random
+    forests). The integrator is linear. :mod:`traitframe.plans.hidden` fits all folds and trials at once.
+
     The integrator and the combination weights learn from out-of-fold outputs: fragments are dealt into
     ``parts``, and each part is scored by extractors that did not see it.
     """
     if weights not in ("fit", "start"):
         raise ValueError("weights must be 'fit' or 'start'")
+    if learner not in LEARNERS:
+        raise ValueError(f"learner must be one of {LEARNERS}")
     names = [*omics, "concatenated"]
     train = concatenate(data.where(F.col("split") == TRAIN), omics).cache()
 
     def fit_extractors(rows: DataFrame) -> dict[str, object]:
-        return {n: _learner(n, f"x_{n}", regression, l2, elastic).fit(rows) for n in names}
+        return {n: _learner(n, f"x_{n}", regression, l2, elastic, learner).fit(rows) for n in names}
 
     part = F.pmod(F.floor(F.col("fragment")), F.lit(parts))
     held_out = [
@@ -161,7 +179,7 @@ def fit_dual_extraction(
     ]
     stacked = _hidden(reduce(lambda a, b: a.unionByName(b), held_out), names)
     integrator = _learner("integrated", "x_hidden", regression, l2_integrated, 0.0).fit(stacked)
-    model = DualExtraction(list(omics), regression, fit_extractors(train), integrator, start_weights(omics))
+    model = DualExtraction(list(omics), regression, fit_extractors(train), integrator, start_weights(omics), learner)
     if weights == "fit":
         seen = integrator.transform(stacked).withColumn("s_integrated", _scores(regression, "integrated"))
         model.weights = (least_squares_weights if regression else class_weights)(seen.drop("x_hidden"), [*names, "integrated"])
