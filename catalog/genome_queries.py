@@ -8,7 +8,7 @@ from catalog import inputs as i
 from catalog.inputs import K_INNER, K_OUTER, N_FRAGMENTS, with_
 from catalog.registry import query, r6
 from traitframe.functions import genome as g
-from traitframe.operators import blocks, genotypes, positions
+from traitframe.operators import blocks, genotypes, joint_blocks, positions
 from traitframe.operators.folds import random_fragments, with_folds
 from traitframe.session import new_path, stage
 from traitframe.sources import folds as fold_files
@@ -205,8 +205,15 @@ EMBED = (*MATCHED, i.CALLS, i.WEIGHTS, EMBEDDED)
 
 
 def _embedded(spark, sf):
+    edges, lines = _saved_edges(spark, sf), i.vcf_lines(spark, sf)
+    return joint_blocks.block_embed_sites(genome.sites_from_lines(lines), genome.vcf_samples(lines), edges, i.weights(edges))
+
+
+@query("m3_block_embed_calls", with_(*EMBED) + "SELECT ID, block_id, round(value, 6) + 0e0 AS value FROM embedded")
+def m3_calls(spark, sf):
+    """From a table of calls in long form, as another reader may give it."""
     edges = _saved_edges(spark, sf)
-    return blocks.block_embed(_calls(spark, sf), edges, i.weights(edges))
+    return blocks.block_embed(_calls(spark, sf), edges, i.weights(edges)).select("ID", "block_id", r6("value").alias("value"))
 
 
 @query("m3_block_embed", with_(*EMBED) + "SELECT ID, block_id, round(value, 6) + 0e0 AS value FROM embedded")
@@ -248,24 +255,80 @@ def _targets(spark, sf):
     return random_fragments(nation, N_FRAGMENTS).select("ID", "fragment", "y")
 
 
-@query("m2_block_weight_fit", with_(*FIT) + "SELECT x_outer, x_inner, block_id, snp_id, code, round(w, 6) + 0e0 AS w FROM fitted_weights WHERE x_outer = 0 AND x_inner = 0")
+@query("m2_block_weight_fit", with_(*FIT) + "SELECT x_outer, x_inner, block_id, snp_id, code, round(w, 6) + 0e0 AS w FROM fitted_weights")
 def m2(spark, sf):
-    fitted = blocks.fit_block_weights(_calls(spark, sf), _saved_edges(spark, sf), _targets(spark, sf), K_OUTER, K_INNER, only=(0, 0))
+    fitted = blocks.fit_block_weights(_calls(spark, sf), _saved_edges(spark, sf), _targets(spark, sf), K_OUTER, K_INNER)
     return fitted.select("x_outer", "x_inner", "block_id", "snp_id", F.col("code").cast("int").alias("code"), r6("w").alias("w"))
 
 
 @query(
     "s12_block_embedding_writer",
     with_(*FIT) + """SELECT r.x_outer, r.x_inner, r.split, c.ID, e.block_id, round(sum(coalesce(w.w, 0)), 6) + 0e0 AS value
-    FROM calls c JOIN edges e ON e.snp_id = c.snp_id JOIN fragments f ON f.ID = c.ID JOIN roles r ON r.fragment = f.fragment AND r.x_outer = 0 AND r.x_inner = 0
-    LEFT JOIN fitted_weights w ON w.snp_id = c.snp_id AND w.block_id = e.block_id AND w.code = c.code AND w.x_outer = 0 AND w.x_inner = 0
+    FROM calls c JOIN edges e ON e.snp_id = c.snp_id JOIN fragments f ON f.ID = c.ID JOIN roles r ON r.fragment = f.fragment
+    LEFT JOIN fitted_weights w ON w.snp_id = c.snp_id AND w.block_id = e.block_id AND w.code = c.code AND w.x_outer = r.x_outer AND w.x_inner = r.x_inner
     GROUP BY ALL""",
 )
 def s12(spark, sf):
-    calls, edges, targets = stage(_calls(spark, sf), "calls"), _saved_edges(spark, sf), _targets(spark, sf)
-    fitted = blocks.fit_block_weights(calls, edges, targets, K_OUTER, K_INNER, only=(0, 0))
-    embedded = blocks.block_embed(calls, edges, fitted)
-    split = with_folds(targets.select("ID", "fragment"), K_OUTER, K_INNER, (0, 0)).drop("fragment")
+    lines = i.vcf_lines(spark, sf)
+    sites, edges, targets = stage(genome.sites_from_lines(lines), "sites"), _saved_edges(spark, sf), _targets(spark, sf)
+    names = genome.vcf_samples(lines)
+    fitted = blocks.fit_block_weights(genome.calls_from_sites(sites, names), edges, targets, K_OUTER, K_INNER)
+    embedded = joint_blocks.block_embed_sites(sites, names, edges, fitted)
+    split = with_folds(targets.select("ID", "fragment"), K_OUTER, K_INNER).drop("fragment")
     path = new_path(spark, "s12")
     sinks.write_block_embedding(embedded.join(split, ["ID", "x_outer", "x_inner"]), path)
     return fold_files.read_folds(spark, path).select("x_outer", "x_inner", "split", "ID", "block_id", r6("value").alias("value"))
+
+
+# The weights of a joint fit are not SQL's to tell, but what makes them right is: at the least of a ridge regression the
+# gradient is zero for every bit that a training row has, and those bits SQL can list.
+JOINT_BITS = """FROM calls c JOIN edges e USING (snp_id) JOIN targets t USING (ID) JOIN roles r USING (fragment)
+  WHERE r.split = 'trn' AND c.code > 0 GROUP BY ALL"""
+
+
+def _gradients(spark, sf, classes=0, l2=1.0):
+    """Gradient of the fitted weights, from embeddings and calls, with the intercept at its best."""
+    lines = i.vcf_lines(spark, sf)
+    sites, edges = stage(genome.sites_from_lines(lines), "sites"), _saved_edges(spark, sf)
+    names, targets = genome.vcf_samples(lines), _targets(spark, sf)
+    if classes:
+        region = i.table(spark, sf, "nation").select(F.col("n_name").alias("ID"), F.col("n_regionkey").cast("double").alias("y"))
+        targets = targets.drop("y").join(region, "ID")
+    weights = stage(joint_blocks.fit_joint_block_weights(sites, names, edges, targets, K_OUTER, K_INNER, l2, classes), "joint-weights")
+    fold = ["x_outer", "x_inner"]
+    train = with_folds(targets, K_OUTER, K_INNER).where("split = 'trn'").withColumn("omega", F.lit(1.0))
+    if classes:
+        sizes = train.groupBy(*fold, "y").agg(F.count(F.lit(1)).alias("n"))
+        total = sizes.groupBy(*fold).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        share = sizes.join(total, fold).select(*fold, "y", (F.col("all") / F.col("kinds") / F.col("n")).alias("omega"))
+        train = train.drop("omega").join(F.broadcast(share), [*fold, "y"])
+    rows = []
+    for c in range(max(classes, 1)):
+        own = weights.where(F.col("class") == c).drop("class") if classes else weights
+        goal = (F.col("y") == c).cast("double") if classes else F.col("y")
+        value = joint_blocks.block_embed_sites(sites, names, edges, own)
+        left = value.join(F.broadcast(train.select(*fold, "ID", "omega", goal.alias("goal"))), [*fold, "ID"]).withColumn("left", F.col("goal") - F.col("value"))
+        base = left.groupBy(*fold, "block_id").agg((F.sum(F.col("omega") * F.col("left")) / F.sum("omega")).alias("base"))
+        left = left.join(base, [*fold, "block_id"]).select(*fold, "block_id", "ID", (F.col("omega") * (F.col("left") - F.col("base"))).alias("pull"))
+        at = genome.calls_from_sites(sites, names).where("code > 0").join(edges, "snp_id").withColumn("code", F.col("code").cast("int"))
+        pulls = left.join(at, ["ID", "block_id"]).groupBy(*fold, "block_id", "snp_id", "code").agg(F.sum("pull").alias("pull"))
+        keys = [*fold, "block_id", "snp_id", "code"]
+        rows.append(pulls.join(own, keys, "full").select(F.lit(c).alias("class"), *keys, r6(F.col("pull") - l2 * F.col("w")).alias("gradient")))
+    found = rows[0]
+    for more in rows[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+@query("m2_joint_block_weights", with_(*MATCHED, i.CALLS, *TARGETS) + f"SELECT r.x_outer, r.x_inner, e.block_id, c.snp_id, c.code, 0e0 AS gradient {JOINT_BITS}")
+def m2_joint(spark, sf):
+    return _gradients(spark, sf).drop("class")
+
+
+@query(
+    "m2_joint_block_weights_classes",
+    with_(*MATCHED, i.CALLS, *TARGETS)
+    + f"SELECT CAST(k AS INT) AS class, g.* FROM range(5) x(k), (SELECT r.x_outer, r.x_inner, e.block_id, c.snp_id, c.code, 0e0 AS gradient {JOINT_BITS}) g",
+)
+def m2_joint_classes(spark, sf):
+    return _gradients(spark, sf, classes=5)
