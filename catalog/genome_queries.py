@@ -12,7 +12,7 @@ from traitframe.operators import blocks, genotypes, joint_blocks, positions
 from traitframe.operators.folds import random_fragments, with_folds
 from traitframe.session import new_path, stage
 from traitframe.sources import folds as fold_files
-from traitframe.sources import genome, sinks, tables
+from traitframe.sources import genome, sinks, site_store, tables
 
 MATCHED = (i.GENES, i.SITES, i.EDGES)
 
@@ -26,6 +26,11 @@ def _calls(spark, sf):
     return genome.calls_from_sites(genome.sites_from_lines(lines), genome.vcf_samples(lines))
 
 
+def _calls_in_genes(spark, sf, edges):
+    lines = i.vcf_lines(spark, sf)
+    return genome.calls_from_sites(genotypes.sites_in_genes(genome.sites_from_lines(lines), edges), genome.vcf_samples(lines))
+
+
 def _edges(spark, sf, **options):
     return genotypes.snps_in_genes(genome.site_positions(i.vcf_lines(spark, sf)), genome.genes_from_lines(i.gff_lines(spark, sf)), **options)
 
@@ -52,17 +57,39 @@ def s5(spark, sf):
 @query("s14_genotype_writer", with_(*MATCHED) + "SELECT snp_id, block_id FROM edges")
 def s14(spark, sf):
     path, edges = new_path(spark, "s14"), _saved_edges(spark, sf)
-    sinks.write_genotypes(genotypes.calls_in_genes(_calls(spark, sf), edges), edges, path)
+    sinks.write_genotypes(_calls_in_genes(spark, sf, edges), edges, path)
     return tables.read_genotypes(spark, path)["snp_block"]
 
 
 @query("s3_genotype_scan", with_(*MATCHED, i.CALLS) + "SELECT ID, snp_id, code FROM calls WHERE snp_id IN (SELECT snp_id FROM edges)")
 def s3(spark, sf):
     path, edges = new_path(spark, "s3"), _saved_edges(spark, sf)
-    sinks.write_genotypes(genotypes.calls_in_genes(_calls(spark, sf), edges), edges, path)
+    sinks.write_genotypes(_calls_in_genes(spark, sf, edges), edges, path)
     return tables.read_genotypes(spark, path)["genotypes"].withColumn("code", F.col("code").cast("int"))
 
 
+def _stored(spark, sf):
+    path, lines = new_path(spark, "site-store"), i.vcf_lines(spark, sf)
+    site_store.write_site_store(stage(genome.sites_from_lines(lines), "sites"), genome.vcf_samples(lines), _saved_edges(spark, sf), path, sample_block=16)
+    return path
+
+
+@query("s14_site_store", with_(*MATCHED, i.CALLS) + "SELECT ID, snp_id, code FROM calls WHERE snp_id IN (SELECT snp_id FROM edges)")
+def s14_store(spark, sf):
+    """Packed codes by site, in blocks of samples, read back as calls."""
+    return site_store.site_calls(spark, _stored(spark, sf)).withColumn("code", F.col("code").cast("int"))
+
+
+@query(
+    "s3_site_store_range",
+    with_(*MATCHED, i.CALLS) + "SELECT ID, snp_id, code FROM calls JOIN sites USING (snp_id) WHERE snp_id IN (SELECT snp_id FROM edges) AND chrom = 'chr2' AND pos BETWEEN 5000 AND 90000",
+)
+def s3_range(spark, sf):
+    """The calls of one place; row groups beyond its bounds are skipped."""
+    path = _stored(spark, sf)
+    return site_store.site_calls(spark, path, site_store.read_sites(spark, path, ("2", 5000, 90000))).withColumn("code", F.col("code").cast("int"))
+
+
 @query("p3_feature_type", "SELECT 'G' || p_partkey AS gene_id, count(*) + CASE WHEN p_partkey % 29 = 0 THEN 1 ELSE 0 END AS n FROM part GROUP BY p_partkey")
 def p3(spark, sf):
     return genome.parse_genes(i.gff_lines(spark, sf)).groupBy("gene_id").agg(F.count(F.lit(1)).alias("n"))
@@ -127,7 +154,8 @@ def p8(spark, sf):
 
 @query("p9_onehot", with_(*MATCHED, i.CALLS, i.INDEX) + "SELECT ID, snp_idx * 10 + code - 1 AS bit FROM calls JOIN snp_idx USING (snp_id) WHERE code > 0")
 def p9(spark, sf):
-    return genotypes.onehot_calls(_calls(spark, sf), genotypes.snp_index(_edges(spark, sf)))
+    lines = i.vcf_lines(spark, sf)
+    return genotypes.onehot_sites(genome.sites_from_lines(lines), genome.vcf_samples(lines), genotypes.snp_index(_edges(spark, sf)))
 
 
 @query(
@@ -136,8 +164,8 @@ def p9(spark, sf):
     + "SELECT ID, block_id, count(*) AS n_bits, CAST(sum(snp_idx * 10 + code - 1) AS BIGINT) AS bit_sum FROM calls JOIN snp_idx USING (snp_id) JOIN edges USING (snp_id) WHERE code > 0 GROUP BY ALL",
 )
 def p9_gene(spark, sf):
-    edges = _saved_edges(spark, sf)
-    bits = genotypes.onehot_calls_by_block(_calls(spark, sf), edges, genotypes.snp_index(edges))
+    edges, lines = _saved_edges(spark, sf), i.vcf_lines(spark, sf)
+    bits = genotypes.onehot_sites_by_block(genome.sites_from_lines(lines), genome.vcf_samples(lines), edges, genotypes.snp_index(edges))
     return bits.groupBy("ID", "block_id").agg(F.count(F.lit(1)).alias("n_bits"), F.sum("bit").alias("bit_sum"))
 
 

@@ -30,6 +30,18 @@ def latest_sites(sites: DataFrame, order: str = "line_no") -> DataFrame:
     return one_per_key(sites, ["snp_id"], F.col(order), last=True)
 
 
+def current_sites(sites: DataFrame, order: str = "line_no") -> DataFrame:
+    """Saved site rows without those that a later record of the same SNP ID replaces.
+
+    Repeated IDs are found among (ID, order) pairs, and only the places of
+    superseded rows meet the wide table.
+    """
+    keys = sites.select("snp_id", order)
+    last = keys.groupBy("snp_id").agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("snp_id", "_last")
+    old = stage(keys.join(last, "snp_id").where(F.col(order) < F.col("_last")).select("snp_id", order), "superseded")
+    return sites if old.isEmpty() else sized_join(sites, old, ["snp_id", order], "left_anti", salt_by=[order], staged=True)
+
+
 def snps_in_genes(
     sites: DataFrame,
     genes: DataFrame,
@@ -99,6 +111,30 @@ def calls_in_genes(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return sized_join(calls, edges.select("snp_id").distinct(), ["snp_id"], "left_semi", salt_by=["ID"])
 
 
+def sites_in_genes(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """Site rows of matched SNPs only: the same on packed codes."""
+    return sized_join(sites, edges.select("snp_id").distinct(), ["snp_id"], "left_semi", salt_by=["snp_id"])
+
+
+def _set_bits(numbered: DataFrame, samples: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """Bits of numbered site rows by sample, made last."""
+    cells = F.arrays_zip(F.col("_names").alias("ID"), F.col("codes").alias("code"))
+    spread = numbered.withColumn("_names", samples.scalar()).select(*keys, "snp_idx", F.inline(cells))
+    spread = spread.where((F.col("code") > 0) & F.col("ID").isNotNull())
+    return spread.select("ID", *keys, onehot_position(F.col("snp_idx"), F.col("code"), bits).alias("bit"))
+
+
+def onehot_sites(sites: DataFrame, samples: DataFrame, index: DataFrame, bits: int = ONEHOT_BITS) -> DataFrame:
+    """:func:`onehot_calls` from site rows: they are numbered before samples are told apart."""
+    return _set_bits(sized_join(sites.select("snp_id", "codes"), index, ["snp_id"], salt_by=["snp_id"]), samples, [], bits)
+
+
+def onehot_sites_by_block(sites: DataFrame, samples: DataFrame, edges: DataFrame, index: DataFrame, bits: int = ONEHOT_BITS) -> DataFrame:
+    """:func:`onehot_calls_by_block` from site rows."""
+    placed = sized_join(sites.select("snp_id", "codes"), edges.join(index, "snp_id"), ["snp_id"], salt_by=["snp_id"])
+    return _set_bits(placed, samples, ["block_id"], bits)
+
+
 def onehot_calls(calls: DataFrame, index: DataFrame, bits: int = ONEHOT_BITS) -> DataFrame:
     """Set bits (ID, bit) of the one-hot genotype vectors; code 0 sets none."""
     called = calls.where(F.col("code") > 0)

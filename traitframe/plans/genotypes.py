@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from traitframe.operators.genotypes import calls_in_genes, matched_or_error, snps_in_genes
+from traitframe.operators.genotypes import matched_or_error, sites_in_genes, snps_in_genes
 from traitframe.session import stage
 from traitframe.sources.genome import calls_from_sites, read_gff_genes, read_lines, site_positions, sites_from_lines, vcf_samples
 from traitframe.sources.sinks import write_genotypes
@@ -33,7 +33,7 @@ def encode_genotypes(
     # SNP positions and gene ranges are thin; written once for the two users below
     edges = stage(snps_in_genes(site_positions(lines), read_gff_genes(spark, gff), strand, normalize_vcf), "snp-block")
     matched_or_error(edges)
-    calls = calls_in_genes(calls_from_sites(sites_from_lines(lines), vcf_samples(lines)), edges)
+    calls = calls_from_sites(sites_in_genes(sites_from_lines(lines), edges), vcf_samples(lines))
     if path is not None:
         write_genotypes(calls, edges, path)
     return Encoded(calls, edges)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitframe.functions.genome import gene_length, genotype_code, sequence_name, snp_name
-from traitframe.operators.genotypes import latest_genes, latest_sites
+from traitframe.operators.genotypes import current_sites, latest_genes
 from traitframe.operators.joins import require_rows
+from traitframe.session import stage
 
 VCF_FIXED = 9  # CHROM POS ID REF ALT QUAL FILTER INFO FORMAT
 
@@ -110,9 +111,9 @@ def sites_from_lines(lines: DataFrame) -> DataFrame:
     """One row per SNP with its genotype codes as a byte array; the last record of an ID counts.
 
     A record has few different genotype texts whatever its number of samples, so
-    each text is decoded once per record and looked up for the samples. Codes
-    replace texts before repeated IDs are removed, so that the shuffle moves one
-    byte per sample.
+    each text is decoded once per record and looked up for the samples. The
+    coded records are written once. Which of them are superseded follows from
+    their IDs and line numbers alone, so codes never move.
     """
     sites = parse_sites(lines).withColumn("_gt", F.transform("fields", lambda s: F.substring_index(s, ":", 1))).drop("fields")
     sites = sites.withColumn("_texts", F.array_distinct("_gt"))
@@ -122,7 +123,7 @@ def sites_from_lines(lines: DataFrame) -> DataFrame:
     # otherwise move their expressions into the loop over the samples
     codes = F.when(F.size("_codes") == F.size("_texts"), looked_up)
     coded = sites.select("snp_id", "chrom", "pos", "ref", "alts", codes.alias("codes"), "line_no")
-    return latest_sites(coded).drop("line_no")
+    return current_sites(stage(coded, "coded-sites")).drop("line_no")
 
 
 def calls_from_sites(sites: DataFrame, samples: DataFrame) -> DataFrame:
