@@ -9,6 +9,7 @@ from catalog.inputs import K_INNER, K_OUTER, N_FRAGMENTS, with_
 from catalog.registry import query, r6
 from traitframe.operators import folds, samples
 from traitframe.operators import preprocess as pre
+from traitframe.operators.steps import MaxAbsScale, SeenFilter
 from traitframe.plans import forest, ncv
 from traitframe.session import new_path, stage
 from traitframe.sources import sinks
@@ -109,6 +110,34 @@ def n5(spark, sf):
     return _shown(done.omics.select("ID", *FOLD_FEATURE, "value").unionByName(labels))
 
 
+@query(
+    "n5_user_steps",
+    with_(*i.PREPARED).replace("md5('42|' || ID)", "md5('42|' || ID || '|0')")
+    + """SELECT t.ID, s.x_outer, s.x_inner, s.omics, s.feature, round(coalesce(t.value, s.mean) / CASE WHEN greatest(abs(s.lo), abs(s.hi)) = 0 THEN 1
+      ELSE greatest(abs(s.lo), abs(s.hi)) END, 6) + 0e0 AS value FROM omics t JOIN stats s USING (omics, feature) WHERE s.n >= 0.9e0 * s.n_rows""",
+)
+def n5_user(spark, sf):
+    """Steps of the user's own, written with the samples and applied when a fold is read."""
+    mine = ["impute", SeenFilter(0.9), MaxAbsScale()]
+    done = ncv.prepare_ncv(i.omics_long(spark, sf), None, K_OUTER, K_INNER, pad="none", steps=mine)
+    path = new_path(spark, "n5-user")
+    ncv.write_once(done, path)
+    saved = spark.read.parquet(f"{path}/steps")
+    return _shown(ncv.apply_preprocessors(i.omics_long(spark, sf), None, saved)[0])
+
+
+@query("j1_sparse_repeats", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_linestatus, l_partkey FROM lineitem) GROUP BY ALL")
+def j1_sparse(spark, sf):
+    """Orders as samples, line numbers as features, sparse; every third order comes twice and is told once."""
+    cells = i.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("ID"), F.lit("o").alias("omics"), F.col("l_linenumber").alias("feature_idx"),
+        F.concat(F.lit("f"), "l_linenumber").alias("feature"), F.col("l_quantity").alias("value"),
+    )
+    twice = cells.unionByName(cells.where(F.col("ID").cast("bigint") % 3 == 0).withColumn("value", F.col("value") + 1000))
+    once = samples.first_occurrences(twice).where("value < 1000")
+    return once.select(F.col("ID").cast("bigint").alias("l_orderkey"), F.col("feature_idx").alias("l_linenumber"))
+
+
 @query(
     "s8_written_once",
     with_(*i.PREPARED).replace("md5('42|' || ID)", "md5('42|' || ID || '|0')")

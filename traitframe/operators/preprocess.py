@@ -14,9 +14,13 @@ variance   variance     --              variance > threshold
 minmax     minimum      maximum         true
 zscore     mean         deviation       true
 forest     importance   rank from 1     among the chosen features
+fill:x     fill         --              as the step says
+scale:x    shift        divisor         as the step says
+filter:x   any          any             as the step says
 ========== ============ =============== ==========================
 
-Steps are numbered in the order in which they apply.
+Steps are numbered in the order in which they apply. The last three are steps
+that a user defines (:mod:`traitframe.operators.steps`), x their name.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from traitframe.constants import BROADCAST_ROWS, SALTS, TRAIN, VARIANCE_THRESHOL
 from traitframe.functions.folds import fragments_of
 from traitframe.functions.scoring import or_missing
 from traitframe.operators.joins import sized_join
+from traitframe.operators.steps import Step
 
 FOLD = ["x_outer", "x_inner"]
 FEATURE = ["omics", "feature"]
@@ -42,8 +47,15 @@ def attach(long: DataFrame, samples: DataFrame, staged: bool = False) -> DataFra
     return sized_join(long, samples, ["ID"], staged=staged)
 
 
-def fragment_statistics(long: DataFrame) -> DataFrame:
-    """Per (omics, feature, fragment): rows, values seen, mean, squared deviations, min, max."""
+def _defined(steps: Sequence[str | Step]) -> list[Step]:
+    own = [s for s in steps if isinstance(s, Step)]
+    if len({s.name for s in own}) < len(own):
+        raise ValueError("steps need different names")
+    return own
+
+
+def fragment_statistics(long: DataFrame, steps: Sequence[str | Step] = ()) -> DataFrame:
+    """Per (omics, feature, fragment): rows, values seen, mean, squared deviations, min, max, and the states of user steps."""
     value = or_missing(F.col("value"))
     return long.groupBy(*FEATURE, "fragment").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -52,6 +64,7 @@ def fragment_statistics(long: DataFrame) -> DataFrame:
         (F.var_pop(value) * F.count(value)).alias("dev"),
         F.min(value).alias("lo"),
         F.max(value).alias("hi"),
+        *[s.update(value).alias(s.column) for s in _defined(steps)],
     )
 
 
@@ -80,14 +93,25 @@ def combine_statistics(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     return total.select(*by, "rows", "n", "mean", F.try_divide(F.col("_within") + between, F.col("rows")).alias("variance"), "lo", "hi")
 
 
-def fold_statistics(long: DataFrame, k_outer: int, k_inner: int, only: tuple[int, int] | None = None) -> DataFrame:
+def _merged(step: Step) -> Column:
+    """The state of all fragments in ``_parts``; null if none has one."""
+    states = F.filter(F.transform("_parts", lambda p: p[step.column]), lambda x: x.isNotNull())
+    rest = F.slice(states, F.lit(2), F.greatest(F.size(states) - 1, F.lit(0)))
+    return F.aggregate(rest, F.get(states, F.lit(0)), step.merge)
+
+
+def fold_statistics(
+    long: DataFrame, k_outer: int, k_inner: int, only: tuple[int, int] | None = None, steps: Sequence[str | Step] = ()
+) -> DataFrame:
     """Training-row statistics of every feature in every fold.
 
     The fragments of a feature, at most ``k_outer * k_inner``, are gathered in one
     row, and each fold picks its own from that row: nothing is repeated per fold before the shuffle.
     """
-    parts = fragment_statistics(long)
-    gathered = parts.groupBy(*FEATURE).agg(F.collect_list(F.struct("fragment", "rows", "n", "mean", "dev", "lo", "hi")).alias("_all"))
+    own = _defined(steps)
+    parts = fragment_statistics(long, steps)
+    columns = ["fragment", "rows", "n", "mean", "dev", "lo", "hi", *[s.column for s in own]]
+    gathered = parts.groupBy(*FEATURE).agg(F.collect_list(F.struct(*columns)).alias("_all"))
     folds = [(o, i) for o in range(k_outer) for i in range(k_inner) if only in (None, (o, i))]
     grid = F.array(*[
         F.struct(F.lit(o).alias("x_outer"), F.lit(i).alias("x_inner"), F.array(*[F.lit(f) for f in fragments_of(TRAIN, o, i, k_outer, k_inner)]).alias("_own"))
@@ -108,6 +132,7 @@ def fold_statistics(long: DataFrame, k_outer: int, k_inner: int, only: tuple[int
         F.when(F.col("n") > 0, F.try_divide(around, F.col("rows"))).alias("variance"),
         F.array_min(F.transform("_parts", lambda p: p["lo"])).alias("lo"),
         F.array_max(F.transform("_parts", lambda p: p["hi"])).alias("hi"),
+        *[_merged(s).alias(s.column) for s in own],
     )
 
 
@@ -118,23 +143,40 @@ def table_statistics(long: DataFrame) -> DataFrame:
     return combine_statistics(whole, [*FOLD, *FEATURE])
 
 
-def steps_from_statistics(stats: DataFrame, steps: Sequence[str], threshold: float = VARIANCE_THRESHOLD) -> DataFrame:
-    """Parameter table of the named steps, in order."""
+def steps_from_statistics(stats: DataFrame, steps: Sequence[str | Step], threshold: float = VARIANCE_THRESHOLD) -> DataFrame:
+    """Parameter table of the steps, in order: names of built-in ones, or steps that a user defined.
+
+    Statistics are those of raw values. Locations and widths of a scaling step
+    that follows another one are told in the units that the earlier one leaves.
+    """
     none = F.lit(None).cast("double")
     seen = F.col("n") > 0
+    known = {c: F.col(c) for c in ("rows", "n", "mean", "variance", "lo", "hi")}
     shapes: dict[str, tuple[Column, Column, Column]] = {
         "impute": (F.col("mean"), none, seen),
         "variance": (F.col("variance"), none, seen & (F.col("variance") > threshold)),
         "minmax": (F.col("lo"), F.col("hi"), seen),
         "zscore": (F.col("mean"), F.sqrt("variance"), seen),
     }
-    rows = [
-        F.struct(
-            F.lit(i).alias("step"), F.lit(kind).alias("kind"), shapes[kind][0].alias("p1"),
-            shapes[kind][1].alias("p2"), F.coalesce(shapes[kind][2], F.lit(False)).alias("keep"),
-        )
-        for i, kind in enumerate(steps)
-    ]
+    rows = []
+    before: tuple[Column, Column] | None = None  # shift and divisor of the raw values so far
+    for number, step in enumerate(steps):
+        if isinstance(step, Step):
+            kind, effect = step.kind, step.effect
+            p1, p2, keep = step.finish(F.col(step.column), known)
+            p1, p2, keep = p1.cast("double"), none if p2 is None else p2.cast("double"), F.lit(True) if keep is None else keep
+        else:
+            kind, effect = step, {"impute": "fill", "variance": "filter"}.get(step, "scale")
+            p1, p2, keep = shapes[step]
+        after = before
+        if effect == "scale":
+            width = p2 - p1 if kind == "minmax" else p2
+            after = p1, F.when(width == 0, 1.0).otherwise(width)
+        if before is not None and effect != "filter":
+            shift, divisor = before
+            p1, p2 = (p1 - shift) / divisor, (p2 - shift) / divisor if kind == "minmax" else p2 / divisor
+        before = after
+        rows.append(F.struct(F.lit(number).alias("step"), F.lit(kind).alias("kind"), p1.alias("p1"), p2.alias("p2"), F.coalesce(keep, F.lit(False)).alias("keep")))
     return stats.select(*FOLD, *FEATURE, F.inline(F.array(*rows)))
 
 
@@ -144,9 +186,10 @@ def fit_omics(
     k_inner: int,
     threshold: float = VARIANCE_THRESHOLD,
     only: tuple[int, int] | None = None,
+    steps: Sequence[str | Step] = OMICS_STEPS,
 ) -> DataFrame:
-    """Impute, variance filter and min-max parameters; ``long`` carries ``fragment``."""
-    return steps_from_statistics(fold_statistics(long, k_outer, k_inner, only), OMICS_STEPS, threshold)
+    """Parameters of the steps, by default impute, variance filter and min-max; ``long`` carries ``fragment``."""
+    return steps_from_statistics(fold_statistics(long, k_outer, k_inner, only, steps), steps, threshold)
 
 
 def fit_labels(labels: DataFrame, k_outer: int, k_inner: int, only: tuple[int, int] | None = None) -> DataFrame:
@@ -169,9 +212,10 @@ def compile_steps(params: DataFrame) -> DataFrame:
         kind = step["kind"]
         width = F.when(kind == "minmax", step["p2"] - step["p1"]).otherwise(step["p2"])
         width = F.when(width == 0, 1.0).otherwise(width)
-        scales = kind.isin("minmax", "zscore")
+        scales = kind.isin("minmax", "zscore") | kind.startswith("scale:")
+        fills = (kind == "impute") | kind.startswith("fill:")
         return F.struct(
-            F.coalesce(acc["fill"], F.when(kind == "impute", step["p1"] * acc["divisor"] + acc["shift"])).alias("fill"),
+            F.coalesce(acc["fill"], F.when(fills, step["p1"] * acc["divisor"] + acc["shift"])).alias("fill"),
             F.when(scales, acc["shift"] + acc["divisor"] * step["p1"]).otherwise(acc["shift"]).alias("shift"),
             F.when(scales, acc["divisor"] * width).otherwise(acc["divisor"]).alias("divisor"),
         )

@@ -69,12 +69,12 @@ def first_rows(df: DataFrame, order: Column) -> DataFrame:
 def first_occurrences(long: DataFrame) -> DataFrame:
     """Long rows of the first occurrence, in file order, of every sample in every omics table.
 
-    A sample with more rows than its table has features came more than once. Only
-    rows of such samples are reduced; the others don't move.
+    A sample with more rows than different features came more than once, be its
+    rows dense or sparse. Only rows of such samples are reduced; of the others
+    eight bytes a cell are compared. Features whose hashes meet merely take the longer way.
     """
-    features = long.select("omics", "feature").distinct().groupBy("omics").agg(F.count(F.lit(1)).alias("_features"))
-    rows = long.groupBy("ID", "omics").agg(F.count(F.lit(1)).alias("_rows"))
-    repeated = stage(rows.join(features, "omics").where("_rows > _features").select("ID", "omics"), "repeated-ids")
+    rows = long.groupBy("ID", "omics").agg(F.count(F.lit(1)).alias("_rows"), F.size(F.collect_set(F.xxhash64("feature"))).alias("_features"))
+    repeated = stage(rows.where("_rows > _features").select("ID", "omics"), "repeated-ids")
     if repeated.isEmpty():
         return long
     keys = ["ID", "omics"]

@@ -32,6 +32,7 @@ from traitframe.operators.preprocess import (
     table_statistics,
 )
 from traitframe.operators.samples import first_occurrences, labels_as_omics, pad_samples, shared_omics_ids
+from traitframe.operators.steps import Step
 from traitframe.plans.forest import forest_steps
 from traitframe.session import new_path, stage
 from traitframe.sources.folds import read_folds, write_folds
@@ -97,9 +98,13 @@ def prepare_ncv(
     seed_resample: int = SEED_RESAMPLE,
     threshold: float = VARIANCE_THRESHOLD,
     forest: ForestSettings | None = None,
+    steps: Sequence[str | Step] = OMICS_STEPS,
 ) -> Prepared:
     """All folds in one plan.
 
+    ``steps`` are applied to feature tables in order: names of built-in steps or
+    steps of your own (:class:`traitframe.operators.steps.Step`), fitted in the same scan.
+
     ``codes`` names omics tables that hold genotype codes; they are not
     preprocessed. Of a sample that a table holds twice the first occurrence
     counts. ``pad='duplicate'`` adds resampled copies until the fragments
@@ -138,8 +143,8 @@ def prepare_ncv(
     placed = attach(omics, cut, staged=True)
     treated = placed.where(~F.col("omics").isin(*codes)) if codes else placed
     if prepare_omics:
-        steps = stage(fit_omics(treated, k_outer, k_inner, threshold, only), "omics-steps")
-        ready_omics = apply_steps(treated, steps, saved=True)
+        fitted = stage(fit_omics(treated, k_outer, k_inner, threshold, only, steps), "omics-steps")
+        ready_omics = apply_steps(treated, fitted, saved=True)
         if forest is not None:
             if placed_labels is None:
                 raise ValueError("feature selection needs labels")
@@ -149,9 +154,9 @@ def prepare_ncv(
             chosen = forest_steps(
                 read_folds(omics.sparkSession, path), placed_labels, forest.n_features, forest.n_trees, forest.seeds, forest.max_depth
             )
-            steps = stage(steps.unionByName(chosen), "omics-steps")
-            ready_omics = apply_steps(treated, steps, saved=True)
-        params = steps if params is None else params.unionByName(steps)
+            fitted = stage(fitted.unionByName(chosen.withColumn("step", F.lit(len(steps)))), "omics-steps")
+            ready_omics = apply_steps(treated, fitted, saved=True)
+        params = fitted if params is None else params.unionByName(fitted)
     else:
         ready_omics = with_folds(treated, k_outer, k_inner, only).drop("split")
     if codes:
