@@ -15,7 +15,7 @@ from traitframe.llm.exchange import Batch, by_part, meet, n_parts, pack, pack_te
 from traitframe.llm.words import mix, words_of
 
 DISCOUNTED = 5
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 END, START = np.uint64(0x5EED0E0D5EED0E0D), np.uint64(0x5EED57A25EED57A2)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -249,23 +249,32 @@ def _score(parts: int, model: Model):
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for r in row.to_pylist():
-                batch = read_batch(r["batch"], r["texts"])
+            for k in range(row.num_rows):  # one at a time: a row holds a batch of texts and all answers to it
+                texts, answers, weights = (row.column(c)[k].as_py() or [] for c in ("texts", "counts", "weights"))
+                batch = read_batch(row.column("batch")[k].as_py(), texts)
                 tokens = _Tokens(batch)
-                counts = _Counts(tokens, r["counts"], parts)
-                told = {int(x[0][0]): x[1:] for x in (unpack(a, np.int64, np.float64, np.float64) for a in r["weights"])}
+                batch.data = texts = None
+                counts = _Counts(tokens, answers, parts)
+                pairs = counts.pair_count[np.searchsorted(counts.pair, tokens.pair)]
+                answers = tokens.pair = counts.pair = counts.pair_count = counts.pair_mine = None
+                told = {int(x[0][0]): x[1:] for x in (unpack(a, np.int64, np.float64, np.float64) for a in weights)}
                 asked = list(_histories(tokens, parts))
-                kind = np.concatenate([k for _, k in asked])
+                kind = np.concatenate([own for _, own in asked])
                 weight, scale = (np.concatenate([told[p][i] for p, _ in asked]) for i in (0, 1))
+                told = asked = weights = None
                 order = np.argsort(kind)
-                at = order[np.searchsorted(kind[order], tokens.before)]
+                at = order[np.searchsorted(kind[order], tokens.before)].astype(np.uint32)
+                before = counts.before(tokens.before)
                 n = counts.words(tokens.token)
-                pairs = counts.pair_count[np.searchsorted(counts.pair, tokens.pair)]
-                chance = model.pair(pairs, counts.before(tokens.before), weight[at], scale[at], model.word(n))
-                base = np.log10((n + 1) / (model.tokens + model.types + 1))
+                tokens.before = tokens.token = None
+                chance = np.log10(model.pair(pairs, before, weight[at], scale[at], model.word(n)))
+                pairs = before = at = None
                 first = np.cumsum(tokens.counts) - tokens.counts
-                sums = [np.add.reduceat(x, first) for x in ((n > 0).astype(np.int64), base, np.log10(chance))]
-                columns = [pa.array(x) for x in (batch.id_column(), batch.flags, tokens.counts, sums[0], np.full(len(first), model.tokens), *sums[1:])]
+                score = np.add.reduceat(chance, first)
+                chance = None
+                base = np.add.reduceat(np.log10((n + 1) / (model.tokens + model.types + 1)), first)
+                known = np.add.reduceat((n > 0).astype(np.int64), first)
+                columns = [pa.array(x) for x in (batch.id_column(), batch.flags, tokens.counts, known, np.full(len(first), model.tokens), base, score)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
