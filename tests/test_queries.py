@@ -37,7 +37,7 @@ def test_query(spark, con, name):
     got = df.collect()
     assert got
     plan = df._jdf.queryExecution().executedPlan().toString()
-    if not name.startswith(("m4", "m6", "m8")):  # Spark ML's own transformers
+    if not name.startswith(("m4", "m6", "m8")):  # fits and predictions in numpy or Spark ML
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|EvalPython|InPandas", plan)
     assert compare(name, got, df.columns, oracle_sql()[name], con) == ""
 
