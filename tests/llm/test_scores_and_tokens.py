@@ -58,6 +58,26 @@ def test_encoder_equals_the_tokenizer():
         assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
 
 
+def thue_morse(n):
+    """A word of ``n`` letters and its complement: polynomials modulo 2**64 give both one value from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 256, 257, 1024, 4096])
+def test_words_that_defeat_polynomial_hashes_are_told_apart(n):
+    from tokenizers import Tokenizer
+
+    one, other = thue_morse(n)
+    chunk = next(words.text_chunks(pa.array([f"x {one}", other])))
+    x, a, b = words.words_of(chunk).hash
+    assert len({x, a, b}) == 3
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    ids, counts = token_files.TextEncoder(TOKENIZER).chunk(chunk)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in (f"x {one}", other)]
+    assert ids.tolist() == want[0] + want[1] and counts.tolist() == [len(w) for w in want]
+
+
 def test_token_files_round_trip(spark, edge, edge_rows, nothing):
     from tokenizers import Tokenizer
 

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = (1 << 20) - 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+LONG_RANGE = 256
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -74,7 +76,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def ranges_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of ``data[start:end]`` for many ascending ranges, from one running sum per stretch of data."""
+    """64-bit hash of ``data[start:end]`` for many ascending ranges, from one running sum per stretch of data.
+
+    The sum is a polynomial modulo 2**64, in which long strings can be made to meet (a Thue-Morse word and its complement);
+    so ranges of more than ``LONG_RANGE`` bytes have xxHash's value instead.
+    """
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
@@ -87,6 +93,8 @@ def ranges_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         a, b = start[at:stop] - low, end[at:stop] - low
         out[at:stop] = mix((total[b] - total[a]) * down[a])
         at = stop
+    for i in np.flatnonzero(end - start > LONG_RANGE):
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
     return out
 
 
