@@ -217,6 +217,80 @@ def test_edited_copies_equal_brute_force(spark, edge, edge_rows, nothing):
     assert similar.keep_one_per_similar_group(nothing).count() == 0
 
 
+def dense_group(rng, copies, centres=2, n=120):
+    """Texts around centres that share half of their words, each with as many changed words as leaves some pairs above and some below 0.8."""
+    common = [f"c{i}" for i in range(n // 2)]
+    rows = []
+    for centre in range(centres):
+        base = common + [f"b{centre}_{i}" for i in range(n - n // 2)]
+        for copy in range(copies):
+            text = list(base)
+            for at in rng.choice(n, int(rng.integers(1, 5)), replace=False):
+                text[at] = f"e{rng.integers(0, 40)}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def matrix_groups(rows):
+    """As :func:`similar_groups`, from a matrix of shared shingles."""
+    sets = [shingle_set(t) for _, t in rows]
+    number = {s: i for i, s in enumerate(set().union(*sets))}
+    has = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [number[s] for s in x]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-4
+    least, ids = np.arange(len(rows)), np.array([i for i, _ in rows])
+    while ((after := np.where(near, least[None, :], len(rows)).min(axis=1)) != least).any():
+        least = after
+    return {int(i): int(ids[k]) for i, k in zip(ids, least, strict=True)}, int(near.sum())
+
+
+def test_dense_group_makes_rows_by_members_not_pairs(spark, monkeypatch):
+    rows = dense_group(np.random.default_rng(8), 400)
+    want, pairs = matrix_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, save = {}, similar.save
+    monkeypatch.setattr(similar, "save", lambda df, name: made.setdefault(name, save(df, name)))
+    monkeypatch.setattr(similar, "drop_saved", lambda *tables: None)
+    settings = [{"CELL_TEXTS": 64}, {"GROUP_TEXTS": 10, "CELL_TEXTS": 64}]  # cells of a group, cells of bands
+    for values in settings:
+        made.clear()
+        with monkeypatch.context() as patch:
+            for name, value in values.items():
+                patch.setattr(similar, name, value)
+            got = {r.doc_id: r.component_id for r in similar.similar_components(docs).collect()}
+        assert got == want and 1 < len(set(want.values())) < len(want) / 2
+        assert max(df.count() for name, df in made.items() if name != "cells") <= similar.BANDS * len(rows) < pairs
+    assert made["cells"].count() > 0
+
+
+def test_class_links_equal_all_pairs():
+    rows = dense_group(np.random.default_rng(9), 60)
+    sets = [np.sort(np.array([abs(hash(s)) for s in shingle_set(t)], np.uint64)) for _, t in rows]
+    prints = np.concatenate([similar.set_fingerprints(similar.mix(x), np.array([len(x)])) for x in sets])
+    names = np.arange(len(rows))
+    a, b = similar.class_links(names, names, prints, np.ones(len(rows), bool), sets, 0.8)
+    root = names.copy()
+    for x, y in zip(a, b, strict=True):
+        root[root == max(root[x], root[y])] = min(root[x], root[y])
+    want, _ = matrix_groups(rows)
+    assert root.tolist() == list(want.values()) and len(a) == len(rows) - len(set(want.values()))
+    nobody = similar.class_links(names, names, prints, np.zeros(len(rows), bool), sets, 0.8)
+    assert len(nobody[0]) == 0
+
+
+def test_set_fingerprints_take_the_majority_of_each_bit():
+    sets = [np.array([0b0110, 0b0101, 0b1100], np.uint64), np.zeros(0, np.uint64), np.array([1, 2], np.uint64), np.array([1 << 63], np.uint64)]
+    got = similar.set_fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert got.tolist() == [0b0100, 0, 0, -(1 << 63)]
+
+
+def test_lower_similarity_is_refused(spark, edge):
+    with pytest.raises(ValueError, match="from 0.8"):
+        similar.similar_components(edge, similarity=0.5)
+
+
 def test_pipeline_drops_edited_copies(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{i}" for i in range(200)]
