@@ -284,6 +284,11 @@ def test_set_fingerprints_take_the_majority_of_each_bit():
     sets = [np.array([0b0110, 0b0101, 0b1100], np.uint64), np.zeros(0, np.uint64), np.array([1, 2], np.uint64), np.array([1 << 63], np.uint64)]
     got = similar.set_fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))
     assert got.tolist() == [0b0100, 0, 0, -(1 << 63)]
+    rng = np.random.default_rng(10)
+    sets = [rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (254, 255, 256, 0, 1, 2000, 510)]
+    got = similar.set_fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))
+    want = [sum((2 * int(((x >> np.uint64(b)) & np.uint64(1)).sum()) > len(x)) << b for b in range(64)) for x in sets]
+    assert got.view(np.uint64).tolist() == want
 
 
 def test_lower_similarity_is_refused(spark, edge):
