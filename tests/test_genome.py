@@ -119,6 +119,20 @@ def test_range_join_against_brute_force(spark, options):
     assert rows(genotypes.snps_in_genes(s_df, g_df, "+", normalize_sites=False, **options)) == plus
 
 
+def test_long_genes_are_one_row(spark):
+    """Ranges of every length, at the ends of bins, without positions: one row a gene, and every edge found."""
+    spans = [(1, 100_000_000), (16_383, 16_384), (16_384, 32_767), (131_071, 131_072), (1 << 29, 1 << 29), ((1 << 29) - 1, 1 << 29), (5, 5), (1, (1 << 62) + 7), (-3, 4)]
+    genes = [(f"g{n}", "1", a, b, "+") for n, (a, b) in enumerate(spans)] + [("none", "1", None, 9, "+"), ("back", "1", 9, 3, "+")]
+    places = sorted({p + d for a, b in spans for p in (a, b, (a + b) // 2) for d in (-1, 0, 1)})
+    g_df = spark.createDataFrame(genes, "gene_id string, seqid string, start long, end long, strand string")
+    s_df = spark.createDataFrame([(f"s{p}", "1", p) for p in places] + [("nowhere", "1", None)], "snp_id string, chrom string, pos long")
+    assert genotypes.gene_bins(g_df).count() == len(genes)
+    want = sorted((f"s{p}", q) for p in places for q, _, a, b, _ in genes if a is not None and a <= p <= b)
+    assert rows(genotypes.snps_in_genes(s_df, g_df)) == want
+    assert rows(genotypes.snps_in_genes(s_df, g_df, max_rows=0, salts=2)) == want
+    assert rows(genotypes.snps_in_genes(s_df, g_df.limit(0))) == rows(genotypes.snps_in_genes(s_df.limit(0), g_df)) == []
+
+
 def test_lists_and_onehot(spark):
     edges = spark.createDataFrame([(f"s{i:02d}", "g") for i in range(10)] + [("s03", "h")], "snp_id string, block_id string")
     index = genotypes.snp_index(edges)

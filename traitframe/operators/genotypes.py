@@ -7,7 +7,7 @@ code)`` and ``edges(snp_id, block_id)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitframe.constants import BROADCAST_ROWS, ONEHOT_BITS, SALTS
@@ -17,6 +17,9 @@ from traitframe.operators.positions import sorted_positions
 from traitframe.session import stage
 
 BIN_WIDTH = 1 << 14
+# a bin holds 2**BIN_STEP bins of the level below; positions of 64 bits end in one bin at the last level
+BIN_STEP = 3
+BIN_LEVELS = 22
 LIST_CHUNK = 4096
 
 
@@ -53,26 +56,43 @@ def snps_in_genes(
 ) -> DataFrame:
     """Edges (snp_id, block_id): ``start <= pos <= end`` on the same sequence.
 
-    Genes are repeated per bin of the sequence they touch, a SNP falls into one
-    bin, and the range test follows an equality join on (sequence, bin). The
-    gene side is counted: small ones are broadcast and SNPs never move, large
-    ones are salted by SNP so that a crowded bin is shared by many tasks.
-    ``normalize_sites=False`` compares site names as written.
+    Bins form a tree: eight bins of a level make one of the next. A gene is one
+    row, in the smallest bin that holds it whole, whatever its length; a SNP
+    looks at one bin of each level that some gene is in, and the range test
+    follows an equality join on (sequence, level, bin). The gene side is
+    counted: small ones are broadcast and SNPs never move, large ones are salted
+    by SNP so that a crowded bin is shared by many tasks. Genes or SNPs without
+    a position match nothing. ``normalize_sites=False`` compares site names as
+    written.
     """
-    wanted = genes.where(strand_matches(F.col("strand"), strand))
-    binned = wanted.select(
-        F.col("gene_id").alias("block_id"),
-        F.col("seqid").alias("_seq"),
-        F.col("start").alias("_from"),
-        F.col("end").alias("_to"),
-        F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))).alias("_bin"),
-    )
+    binned = stage(gene_bins(genes.where(strand_matches(F.col("strand"), strand)), bin_width), "gene-bins")
+    levels = binned.agg(F.array_compact(F.collect_set("_level")).alias("levels"))
     chrom = sequence_name(F.col("chrom")) if normalize_sites else F.col("chrom")
-    points = sites.select("snp_id", chrom.alias("_seq"), "pos", F.floor(F.col("pos") / bin_width).alias("_bin"))
-    pairs = sized_join(points, binned, ["_seq", "_bin"], salt_by=["snp_id"], max_rows=max_rows, salts=salts)
+    points = sites.select("snp_id", chrom.alias("_seq"), "pos", F.floor(F.col("pos") / bin_width).alias("_lowest"))
+    points = points.withColumn("_level", F.explode(levels.scalar()))
+    points = points.withColumn("_bin", _bin_at(F.col("_lowest"), F.col("_level"))).drop("_lowest")
+    pairs = sized_join(points, binned, ["_seq", "_level", "_bin"], salt_by=["snp_id"], max_rows=max_rows, salts=salts, staged=True)
     return pairs.where(F.col("pos").between(F.col("_from"), F.col("_to"))).select("snp_id", "block_id")
 
 
+def _bin_at(lowest: Column, level: Column) -> Column:
+    """The bin of a level that holds a bin of the lowest one."""
+    shifted = F.call_function("shiftright", lowest, (F.lit(BIN_STEP) * level).cast("int"))
+    return F.when(level >= BIN_LEVELS, F.lit(0).cast("bigint")).otherwise(shifted)
+
+
+def gene_bins(genes: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
+    """(block_id, _seq, _from, _to, _level, _bin): one row per gene, in the smallest bin that holds both ends.
+
+    The highest bit in which the lowest bins of start and end differ tells the level.
+    """
+    first, last = F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)
+    apart = first.bitwiseXOR(last)
+    level = F.when(apart == 0, F.lit(0)).otherwise(F.ceil(F.length(F.bin(apart)) / BIN_STEP)).cast("int")
+    named = genes.select(F.col("gene_id").alias("block_id"), F.col("seqid").alias("_seq"), F.col("start").alias("_from"), F.col("end").alias("_to"), level.alias("_level"), first.alias("_first"))
+    return named.withColumn("_bin", _bin_at(F.col("_first"), F.col("_level"))).drop("_first")
+
+
 def snp_index(edges: DataFrame) -> DataFrame:
     """(snp_id, snp_idx): position of a matched SNP in the sorted list of SNP IDs."""
     # three passes over a thin table: write it rather than match SNPs again
