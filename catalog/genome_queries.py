@@ -121,6 +121,18 @@ def p5(spark, sf):
     return both("gff", gff, genome.parse_genes(gff)).unionByName(both("vcf", vcf, genome.parse_sites(vcf)))
 
 
+@query(
+    "p5_reasons",
+    """SELECT 'gff' AS kind, 'position' AS reason, count(*) AS n FROM part WHERE p_partkey % 19 = 0
+    UNION ALL SELECT 'vcf', 'position', count(*) FROM part WHERE p_partkey % 13 = 0""",
+)
+def p5_reasons(spark, sf):
+    """Malformed records by what is wrong with them."""
+    gff = genome.malformed_genes(i.gff_lines(spark, sf)).select(F.lit("gff").alias("kind"), "reason")
+    vcf = genome.malformed_sites(i.vcf_lines(spark, sf)).select(F.lit("vcf").alias("kind"), "reason")
+    return gff.unionByName(vcf).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p6_strand", with_(*MATCHED) + "SELECT snp_id, block_id FROM edges JOIN genes ON gene_id = block_id WHERE strand = '-'")
 def p6(spark, sf):
     return _edges(spark, sf, strand="-")

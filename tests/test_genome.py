@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -96,6 +97,21 @@ def test_vcf_and_matching(spark, files):
         encode_genotypes(spark, f"{files}/a.vcf", f"{files}/a.gff3", normalize_vcf=False)
 
 
+def test_malformed_records_are_kept_apart_and_counted(spark):
+    gff = spark.createDataFrame([*enumerate((GFF + "\n\n2\tm\tgene\t1\t5\t.\t*\t.\tID=g4\n2\tm\tgene\t0\t5\t.\t+\t.\tID=g5").split("\n")), (99, None)], "line_no long, value string")
+    seen = Observation()
+    assert genome.parse_genes(gff, seen).count() == 4
+    assert seen.get == {"kept": 4, "fields": 1, "position": 2, "range": 1, "strand": 1, "id": 1}
+    assert sorted(rows(genome.malformed_genes(gff).select("line_no", "reason"))) == [(5, "position"), (6, "range"), (7, "id"), (8, "fields"), (11, "strand"), (12, "position")]
+    short = "chr1\t5\t.\tA\tC"
+    vcf = spark.createDataFrame([*enumerate([*VCF.split("\n"), short, short + "\t.\t.\t.\tGT\t0/0", "\t5\t.\tA\tC\t.\t.\t.\tGT\t0/0", "chr1\t5\t.\t\tC\t.\t.\t.\tGT\t0/0", ""])], "line_no long, value string")
+    seen = Observation()
+    assert genome.parse_sites(vcf, seen).count() == 6
+    assert seen.get == {"kept": 6, "fields": 1, "position": 1, "ref": 1, "chrom": 1}
+    assert sorted(rows(genome.malformed_sites(vcf).select("line_no", "reason"))) == [(6, "position"), (8, "fields"), (10, "chrom"), (11, "ref")]
+    assert rows(genome.malformed_genes(gff.limit(0))) == []
+
+
 def test_files_with_different_samples_fail(spark):
     lines = spark.createDataFrame([("#CHROM\t" * 9 + "a", 1), ("#CHROM\t" * 9 + "b", 2)], "value string, line_no int")
     with pytest.raises(Exception, match="different samples"):

@@ -7,7 +7,7 @@ is the file order whatever order the splits are read in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from traitframe.functions.genome import gene_length, genotype_code, sequence_name, snp_name
@@ -16,6 +16,9 @@ from traitframe.operators.joins import require_rows
 from traitframe.session import stage
 
 VCF_FIXED = 9  # CHROM POS ID REF ALT QUAL FILTER INFO FORMAT
+# why a record is malformed; the first that holds is told
+GENE_REASONS = ("fields", "position", "range", "strand", "id")
+SITE_REASONS = ("fields", "position", "ref", "chrom")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -33,25 +36,61 @@ def _position(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{1,18}$"), text).try_cast("bigint")
 
 
-def parse_genes(lines: DataFrame) -> DataFrame:
-    """Gene records of GFF3 lines, before removing repeated IDs.
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines that hold a record, split at tabs; comments and blank lines are none."""
+    return lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
 
-    Malformed records (fewer than 9 fields, positions that are no positive
-    numbers, end before start, unknown strand, no ID) are dropped.
-    """
-    parts = lines.where(~F.col("value").startswith("#")).select("line_no", F.split("value", "\t").alias("f"))
-    attribute = F.regexp_extract(F.get("f", F.lit(8)), r"(?:^|;)\s*ID=([^;]+)", 1)
-    records = parts.where((F.size("f") == 9) & (F.get("f", F.lit(2)) == "gene")).select(
-        attribute.alias("gene_id"),
+
+def _reason(tests: dict[str, Column]) -> Column:
+    """The name of the first test that does not hold, null where all do; an unknown outcome does not hold."""
+    return F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in tests.items()])
+
+
+def _observed(records: DataFrame, seen: Observation | None, reasons: tuple[str, ...]) -> DataFrame:
+    if seen is None:
+        return records
+    return records.observe(seen, F.count_if(F.col("reason").isNull()).alias("kept"), *[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
+
+
+def _gene_records(lines: DataFrame) -> DataFrame:
+    parts = _records(lines).where((F.size("f") < 9) | (F.get("f", F.lit(2)) == "gene"))
+    fields = parts.select(
+        F.regexp_extract(F.get("f", F.lit(8)), r"(?:^|;)\s*ID=([^;]+)", 1).alias("gene_id"),
         sequence_name(F.get("f", F.lit(0))).alias("seqid"),
         _position(F.get("f", F.lit(3))).alias("start"),
         _position(F.get("f", F.lit(4))).alias("end"),
         F.get("f", F.lit(6)).alias("strand"),
         F.get("f", F.lit(2)).alias("feature_type"),
         "line_no",
+        "value",
+        F.size("f").alias("_n"),
     )
-    valid = (F.col("gene_id") != "") & (F.col("start") > 0) & (F.col("end") >= F.col("start")) & F.col("strand").isin("+", "-", ".", "?")
-    return records.where(valid).withColumn("len", gene_length(F.col("start"), F.col("end")))
+    tests = {
+        "fields": F.col("_n") == 9,
+        "position": (F.col("start") > 0) & F.col("end").isNotNull(),
+        "range": F.col("end") >= F.col("start"),
+        "strand": F.col("strand").isin("+", "-", ".", "?"),
+        "id": F.col("gene_id") != "",
+    }
+    return fields.withColumn("reason", _reason(tests)).drop("_n")
+
+
+def parse_genes(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Gene records of GFF3 lines, before removing repeated IDs.
+
+    Malformed records (no nine fields, positions that are no positive
+    numbers, end before start, unknown strand, no ID) are dropped;
+    :func:`malformed_genes` holds them. ``seen`` gets the number of records
+    ``kept`` and of those dropped for each of ``GENE_REASONS``, counted in the
+    scan that an action on the result makes.
+    """
+    records = _observed(_gene_records(lines), seen, GENE_REASONS).where("reason is null").drop("reason", "value")
+    return records.withColumn("len", gene_length(F.col("start"), F.col("end")))
+
+
+def malformed_genes(lines: DataFrame) -> DataFrame:
+    """(line_no, reason, value): the gene records that :func:`parse_genes` drops, and lines too short to tell."""
+    return _gene_records(lines).where("reason is not null").select("line_no", "reason", "value")
 
 
 def genes_from_lines(lines: DataFrame) -> DataFrame:
@@ -78,24 +117,36 @@ def vcf_samples(lines: DataFrame) -> DataFrame:
     return headers.select(F.coalesce(same.cast("array<string>"), names).alias("samples"))
 
 
-def parse_sites(lines: DataFrame) -> DataFrame:
-    """VCF records, one row per line: site fields and the array of sample texts.
-
-    Malformed records (no sample field, position no positive number, empty
-    REF) are dropped.
-    """
-    parts = lines.where(~F.col("value").startswith("#")).select("line_no", F.split("value", "\t").alias("f"))
+def _site_records(lines: DataFrame) -> DataFrame:
     alt = F.get("f", F.lit(4))
-    records = parts.where(F.size("f") > VCF_FIXED).select(
+    fields = _records(lines).select(
         F.get("f", F.lit(0)).alias("chrom"),
         _position(F.get("f", F.lit(1))).alias("pos"),
         F.get("f", F.lit(3)).alias("ref"),
         F.when(alt == ".", F.array().cast("array<string>")).otherwise(F.split(alt, ",")).alias("alts"),
         F.slice("f", VCF_FIXED + 1, F.greatest(F.size("f") - VCF_FIXED, F.lit(0))).alias("fields"),
         "line_no",
+        "value",
+        F.size("f").alias("_n"),
     )
-    valid = (F.col("pos") > 0) & (F.col("ref") != "") & (F.col("chrom") != "")
-    return records.where(valid).withColumn("snp_id", snp_name(F.col("chrom"), F.col("pos")))
+    tests = {"fields": F.col("_n") > VCF_FIXED, "position": F.col("pos") > 0, "ref": F.col("ref") != "", "chrom": F.col("chrom") != ""}
+    return fields.withColumn("reason", _reason(tests)).drop("_n")
+
+
+def parse_sites(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """VCF records, one row per line: site fields and the array of sample texts.
+
+    Malformed records (no sample field, position no positive number, empty
+    REF or CHROM) are dropped; :func:`malformed_sites` holds them. ``seen`` counts
+    them by ``SITE_REASONS`` as in :func:`parse_genes`.
+    """
+    records = _observed(_site_records(lines), seen, SITE_REASONS).where("reason is null").drop("reason", "value")
+    return records.withColumn("snp_id", snp_name(F.col("chrom"), F.col("pos")))
+
+
+def malformed_sites(lines: DataFrame) -> DataFrame:
+    """(line_no, reason, value): the records that :func:`parse_sites` drops."""
+    return _site_records(lines).where("reason is not null").select("line_no", "reason", "value")
 
 
 def site_positions(lines: DataFrame) -> DataFrame:
