@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import rows
 from traitframe.functions.folds import fragments_of
 from traitframe.operators import metrics, samples
 from traitframe.operators.folds import fold_roles
+from traitframe.operators.preprocess import apply_steps
 from traitframe.operators.trials import best_trials
 from traitframe.plans import models, ncv, ranking, vectors
 from traitframe.sources import folds as fold_files
@@ -83,6 +85,28 @@ def test_saved_steps_on_a_stream(spark, tables, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/out").select(*cols)) == rows(ncv.apply_preprocessors(omics, None, params)[0].select(*cols))
 
 
+def test_streams_match_folds_and_refuse_unknown_features(spark, tables, tmp_path):
+    done = ncv.prepare_ncv(*tables, 4, 3)
+    done.params.write.parquet(f"{tmp_path}/steps")
+    params = spark.read.parquet(f"{tmp_path}/steps")
+    omics = tables[0].where("omics = 'a'")
+    folds = F.explode(F.array(*[F.struct(F.lit(o).alias("x_outer"), F.lit(1).alias("x_inner")) for o in (0, 2)])).alias("fold")
+    omics.select("*", folds).select("*", "fold.*").drop("fold").write.parquet(f"{tmp_path}/in")
+    omics.withColumn("feature", F.lit("new")).write.parquet(f"{tmp_path}/other")
+
+    def run(name):
+        rows_in = spark.read.parquet(f"{tmp_path}/{name}")
+        out = apply_steps_stream(spark.readStream.schema(rows_in.schema).parquet(f"{tmp_path}/{name}"), params)
+        query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out-{name}").option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return spark.read.parquet(f"{tmp_path}/out-{name}")
+
+    cols = ["x_outer", "x_inner", "ID", "feature", F.round("value", 9).alias("v")]
+    assert rows(run("in").select(*cols)) == rows(apply_steps(omics, params.where("x_outer in (0, 2) and x_inner = 1")).select(*cols))
+    with pytest.raises(StreamingQueryException, match="no fitted steps"):
+        run("other")
+
+
 def test_padding_and_raw_codes(tables):
     omics, labels = tables
     coded = omics.withColumn("value", F.when(F.col("omics") == "b", 7.0).otherwise(F.col("value")))
