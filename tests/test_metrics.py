@@ -91,5 +91,7 @@ def test_argmax_takes_the_first(spark):
 def test_losses(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 1.0), ("b", 0.0, 3.0)], "label string, y double, y_pred double")
     assert rows(metrics.multi_label_loss(df)) == [(9.5,)]
+    unlabelled = df.unionByName(df.limit(1).select(*[F.lit("none").alias(c) if c == "label" else F.lit(None).cast("double").alias(c) if c == "y" else F.col(c) for c in df.columns]))
+    assert rows(metrics.multi_label_loss(unlabelled)) == [(None,)]
     batches = spark.createDataFrame([(1.0, 3), (2.0, 1)], "loss double, batch_size int")
     assert rows(metrics.weighted_mean_loss(batches)) == [(1.25,)]

@@ -35,10 +35,13 @@ def regression_metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFr
 
 
 def multi_label_loss(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Squared error averaged over rows per label, then summed over labels."""
+    """Squared error averaged over rows per label, then summed over labels.
+
+    A label of which no row has a value and a prediction has no error, and the sum is null.
+    """
     error = F.col("y_pred") - F.col("y")
     per_label = predictions.groupBy(*by, "label").agg(F.avg(error * error).alias("_mse"))
-    return per_label.groupBy(*by).agg(F.sum("_mse").alias("loss"))
+    return per_label.groupBy(*by).agg(F.when(F.count("_mse") == F.count(F.lit(1)), F.sum("_mse")).alias("loss"))
 
 
 def mean_loss(losses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
