@@ -58,6 +58,25 @@ def test_encoder_equals_the_tokenizer():
         assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_kept_pieces_move_few_times(monkeypatch):
+    encoder, moved, argsort = token_files.TextEncoder(TOKENIZER), [], np.argsort
+    monkeypatch.setattr(token_files.np, "argsort", lambda x, **how: moved.append(len(x)) or argsort(x, **how))
+    for at in range(0, 60 * 300, 300):
+        text = " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(at, at + 300))
+        ids, counts = encoder.chunk(next(words.text_chunks(pa.array([text]))))
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1] and counts.tolist() == [len(ids)]
+    assert sum(moved) < 60 * 300 * 8
+
+
+def test_encoder_equals_the_tokenizer_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    encoder, rng = token_files.TextEncoder(TOKENIZER), random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(f"w{chr(97 + rng.randrange(26))}{rng.choice('xyz')}" for _ in range(rng.randint(0, 12))) for _ in range(5)]
+        ids, _ = encoder.chunk(next(words.text_chunks(pa.array(texts))))
+        assert ids.tolist() == [x for t in texts for x in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+
+
 def thue_morse(n):
     """A word of ``n`` letters and its complement: polynomials modulo 2**64 give both one value from 1,024 letters on."""
     bits = [bin(i).count("1") & 1 for i in range(n)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -68,50 +69,75 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        order = np.argsort(np.concatenate((self.known, hashes)), kind="stable")
-        sizes = np.concatenate((np.diff(self.first), [len(x) for x in found])).astype(np.int64)
-        begin = np.concatenate((self.first[:-1], len(self.ids) + np.cumsum([0] + [len(x) for x in found])[:-1])).astype(np.int64)
-        flat = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32)))
-        self.ids = gather(flat, begin[order], sizes[order])
-        self.known = np.concatenate((self.known, hashes))[order]
-        self.first = np.concatenate(([0], np.cumsum(sizes[order])))
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # hashes in ascending order, and their pieces' numbers
+        self.n_known = self.n_ids = 0
+        self.first, self.sizes, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self._append([[END_ID]])
+
+    def _append(self, found: list[list[int]]) -> np.ndarray:
+        """Numbers given to pieces of these ids; arrays double when full. Number 0 is the end of a text."""
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        numbers = np.arange(self.n_known, self.n_known + len(found), dtype=np.int32)
+        while len(self.first) < self.n_known + len(found):
+            self.first, self.sizes = np.concatenate((self.first, np.zeros_like(self.first))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+        while len(self.ids) < self.n_ids + len(flat):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.first[numbers], self.sizes[numbers] = self.n_ids + np.cumsum(sizes, dtype=np.int64) - sizes, sizes
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.n_known, self.n_ids = self.n_known + len(found), self.n_ids + len(flat)
+        return numbers
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of pieces by their hashes, given in ascending order; -1 for those not known."""
+        out = np.full(len(hashes), -1, np.int32)
+        for known, numbers in self.levels:
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            same = known[at] == hashes
+            out[same] = numbers[at[same]]
+        return out
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Numbers of new pieces whose hashes are given in ascending order; levels of like size are merged, so a piece moves few times."""
+        numbers = self._append([x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        self.levels.append((hashes, numbers))
+        while len(self.levels) > 1 and 4 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+            known, own = (np.concatenate(x) for x in zip(*self.levels[-2:], strict=True))
+            order = np.argsort(known, kind="stable")
+            self.levels[-2:] = [(known[order], own[order])]
+        return numbers
 
     def chunk(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk end to end, each closed by ``END_ID``, and their counts."""
         data = texts.data
         start, end = piece_ranges(data, texts.starts)
-        hashes = ranges_hash(data, start, end)
-        codes, fresh = pd.factorize(hashes)
-        at = np.searchsorted(self.known, fresh)
-        new = np.flatnonzero((at >= len(self.known)) | (self.known[np.minimum(at, max(len(self.known) - 1, 0))] != fresh)) if len(self.known) else np.arange(len(fresh))
+        codes, fresh = pd.factorize(ranges_hash(data, start, end))
+        order = np.argsort(fresh)
+        numbers = self._numbers(fresh[order])
+        new = np.flatnonzero(numbers < 0)
         if len(new):
-            if len(self.known) + len(new) > CACHE_WORDS:
+            if self.n_known + len(new) > CACHE_WORDS:
                 self._forget()
                 new = np.arange(len(fresh))
             one = np.zeros(len(fresh), np.int64)
-            one[codes[::-1]] = np.arange(len(codes))[::-1]
-            buffer = data.tobytes()
-            pieces = [buffer[a:b].decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
-            self._learn(fresh[new], pieces)
-            at = np.searchsorted(self.known, fresh)
-        at = at[codes]
-        sizes = np.diff(self.first)[at]
-        piece_text = np.searchsorted(texts.starts, start, "right") - 1
-        counts = np.bincount(piece_text, sizes, len(texts.rows)).astype(np.int64)
-        flat = gather(self.ids, self.first[at], sizes)
+            one[codes] = np.arange(len(codes))
+            buffer, one = data.tobytes(), one[order[new]]
+            pieces = [buffer[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+            numbers[new] = self._learn(fresh[order[new]], pieces)
+        number = np.empty(len(fresh), np.int32)
+        number[order] = numbers
+        closed = np.searchsorted(start, texts.starts[1:])  # pieces up to the end of each text
+        closed = np.insert(number[codes], closed, 0), closed + np.arange(len(closed))
+        sizes = self.sizes[closed[0]]
+        ends = np.cumsum(sizes, dtype=np.int64)[closed[1]]
+        counts = np.diff(ends, prepend=0)
+        flat = gather(self.ids, self.first[closed[0]], sizes)
         whole = {i: self.tokenizer.encode(texts.text(i).decode(), add_special_tokens=False).ids for i in self._special(texts)}
-        ends = np.cumsum(counts)
         if whole:
-            parts = [np.array(whole[i], np.uint32) if i in whole else flat[e - c : e] for i, (c, e) in enumerate(zip(counts, ends, strict=True))]
+            parts = [np.array([*whole[i], END_ID], np.uint32) if i in whole else flat[e - c : e] for i, (c, e) in enumerate(zip(counts, ends, strict=True))]
             counts = np.array([len(p) for p in parts], np.int64)
-            flat, ends = np.concatenate(parts).astype(np.uint32), np.cumsum(counts)
-        out = np.full(len(flat) + len(counts), END_ID, np.uint32)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(counts)), counts)] = flat
-        return out, counts + 1
+            flat = np.concatenate(parts).astype(np.uint32)
+        return flat, counts
 
     @staticmethod
     def _special(texts) -> list[int]:
@@ -122,8 +148,18 @@ class TextEncoder:
 
 def gather(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``values[first : first + size]`` of many ranges, end to end."""
-    ends = np.cumsum(sizes)
-    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    return values[np.arange(total, dtype=kind) + np.repeat((first - (ends - sizes)).astype(kind), sizes)]
+
+
+def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary column whose rows are the stretches of ``values`` up to ``ends``, not copied one by one."""
+    offsets = np.concatenate(([0], ends)) * values.itemsize
+    if offsets[-1] >= 1 << 31:
+        return pa.array([values[a:b].tobytes() for a, b in pairwise([0, *ends.tolist()])], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -141,8 +177,7 @@ def _tokenize(path: str):
                 ends = np.cumsum(counts)
                 wide = bool(ids.max(initial=0) >= 1 << 16)
                 narrow = ids.astype("<u4" if wide else "<u2")
-                blobs = [narrow[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
-                columns = [batch.column(0).slice(int(chunk.rows[0]), len(chunk.rows)), pa.array(np.full(len(counts), part), pa.int32()), pa.array(at + ends - counts), pa.array(counts), pa.array(np.full(len(counts), wide)), pa.array(blobs, pa.binary())]
+                columns = [batch.column(0).slice(int(chunk.rows[0]), len(chunk.rows)), pa.array(np.full(len(counts), part), pa.int32()), pa.array(at + ends - counts), pa.array(counts), pa.array(np.full(len(counts), wide)), binary(narrow, ends)]
                 at += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n", "wide", "ids"])
 
@@ -232,8 +267,7 @@ def _decode(ids: np.ndarray):
                 lengths = np.array(lengths.as_py(), np.int64)
                 ends = np.cumsum(lengths)
                 found = ids[decode_block(control.as_py(), data.as_py(), int(lengths.sum()))].astype("<u4")
-                blobs = [found[e - n : e].tobytes() for n, e in zip(lengths, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.array(start.as_py() + ends - lengths), pa.array(lengths), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.array(start.as_py() + ends - lengths), pa.array(lengths), binary(found, ends)], ["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
