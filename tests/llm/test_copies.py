@@ -5,6 +5,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -280,6 +281,60 @@ def test_class_links_equal_all_pairs():
     assert len(nobody[0]) == 0
 
 
+def pairs_at_the_limit(rng, n_pairs, n=180):
+    """Shingle hashes of pairs of sets whose similarity is 0.8 to 0.82, end to end, and how many each has."""
+    sets = []
+    for _ in range(n_pairs):
+        own = rng.integers(0, 1 << 64, n + 20, dtype=np.uint64)
+        sets += [np.sort(own[:n]), np.sort(own[20:])]
+    return np.concatenate(sets), np.full(2 * n_pairs, n)
+
+
+def test_blocks_of_fingerprints_meet_pairs_at_the_limit():
+    hashes, counts = pairs_at_the_limit(np.random.default_rng(11), 1000)
+    prints = similar.seeded_fingerprints(hashes, counts)
+    assert prints[:, 0].tolist() == similar.set_fingerprints(hashes, counts).tolist()
+    keys, found, others = similar.block_keys(prints), set(), 0
+    assert keys.shape == (2000, similar.BLOCKS) and len(np.unique(keys >> 16)) == similar.BLOCKS
+    for block in range(similar.BLOCKS):
+        order = np.argsort(keys[:, block], kind="stable")
+        root = similar.near_members(keys[order, block], counts[order], prints[order, 0], prints[order, 1], 0.8)
+        links = {(int(order[r]), int(order[i])) for i, r in enumerate(root) if r != i}
+        found |= {a // 2 for a, b in links if a // 2 == b // 2}
+        others += sum(a // 2 != b // 2 for a, b in links)
+    assert len(found) >= 990 and others < 20
+
+
+@pytest.mark.parametrize("scanned", [32, 4])
+def test_members_of_blocks_equal_brute_force(monkeypatch, scanned):
+    monkeypatch.setattr(similar, "SCANNED", scanned)
+    rng = np.random.default_rng(12)
+    centres = rng.integers(0, 1 << 64, (12, 2), dtype=np.uint64)
+    codes = centres[rng.integers(0, 12, 600)]
+    for _ in range(9):
+        codes ^= np.uint64(1) << rng.integers(0, 64, codes.shape).astype(np.uint64)
+    keys, sizes = np.sort(rng.integers(0, 14, 600).astype(np.int32)), rng.integers(50, 80, 600).astype(np.int32)
+    bits = [np.bitwise_count(codes[:, None, c] ^ codes[None, :, c]).astype(int) for c in (0, 1)]
+    near = (keys[:, None] == keys) & (bits[0] <= similar.MAX_BITS) & (bits[0] + bits[1] <= similar.MAX_BITS_OF_TWO)
+    near &= (sizes[:, None] >= 0.8 * sizes - 1e-9) & (sizes >= 0.8 * sizes[:, None] - 1e-9)
+    want = np.arange(600)
+    while ((after := np.where(near, want[None, :], 600).min(axis=1)) != want).any():
+        want = after
+    got = similar.near_members(keys, sizes, codes[:, 0].copy().view(np.int64), codes[:, 1].copy().view(np.int64), 0.8)
+    assert got.tolist() == want.tolist() and 14 < len(np.unique(want)) < 400
+    columns = [keys, np.arange(600), sizes, *(codes[:, c].copy().view(np.int64) for c in (0, 1))]
+    for step, hot in ((600, 4096), (7, 4096), (25, 20), (600, 0)):
+        monkeypatch.setattr(similar, "HOT_BLOCK", hot)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + step]) for c in columns], ["block", "name", "n", "fp", "fp2"]) for at in range(0, 600, step)]
+        rows = [r for b in similar._block_links(0.8)(iter(batches)) for r in b.to_pylist()]
+        groups = {}
+        for r in rows:
+            groups.setdefault(r["least"], set()).add(r["name"])
+        whole = {frozenset(np.flatnonzero(keys == k).tolist()) for k in range(14)}
+        several = {frozenset(np.flatnonzero(want == r).tolist()) for r in range(600)} - {frozenset()}
+        assert {frozenset(g) for g in groups.values()} == (whole if hot < 4096 else {g for g in several if len(g) > 1})
+
+
 def test_set_fingerprints_take_the_majority_of_each_bit():
     sets = [np.array([0b0110, 0b0101, 0b1100], np.uint64), np.zeros(0, np.uint64), np.array([1, 2], np.uint64), np.array([1 << 63], np.uint64)]
     got = similar.set_fingerprints(np.concatenate(sets), np.array([len(x) for x in sets]))

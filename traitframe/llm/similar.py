@@ -1,4 +1,4 @@
-"""Near copies by the exact similarity of word shingles: SimHash fingerprints in Gray-order indexes, dealt out by bands of MinHash values."""
+"""Near copies by the exact similarity of word shingles: SimHash fingerprints of several seeds, dealt out by their blocks, in Gray-order indexes."""
 
 from __future__ import annotations
 
@@ -16,18 +16,23 @@ from traitframe.llm.spaced_seeds import seed_hashes
 from traitframe.llm.words import Texts, mix, text_chunks, words_of
 from traitframe.operators.joins import sized_join
 
-# Texts of similarity 0.8 agree in all values of one band or more
-# but for 1 pair in 20,000: (1 - 0.8**5)**25
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_VALUES = 25, 5
-# Fixed value: at similarity 0.8 two fingerprints differ in 9.7 of 64 bits, with a deviation of 2.9
-MAX_BITS = 24
+# A band is the fingerprint of one seed, cut into four blocks. A bit of two texts of similarity 0.8 is equal with
+# a chance of 0.8485, so a block of 16 bits is with 0.072, and one block or more of all bands but for 1 pair in 1,300
+BANDS, BLOCK_BITS = 24, 16
+BLOCKS = BANDS * 64 // BLOCK_BITS
+# At similarity 0.8 two fingerprints differ in 9.7 of 64 bits, with a deviation of 2.9, and in 19.4 of 128, with one of 4.1
+MAX_BITS, MAX_BITS_OF_TWO = 24, 36
+# Fixed value: so many of the links of a member by its blocks are compared before classes that are still apart are searched
+FIRST_LINKS = 4
+# Members of more than HOT_BLOCK that share a block are not searched by one task; for SCANNED or fewer an index would have few upper nodes
+HOT_BLOCK, SCANNED = 4096, 32
 GROUP_TEXTS, GROUP_SHINGLES = 8192, 1 << 23
 CELL_TEXTS, CELL_SHINGLES = 1024, 1 << 18
 _QUERIES_AT_ONCE = 64
 _BYTE_ONES = np.uint64(0x0101010101010101)
-_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_VALUES), dtype=np.uint64)
+_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS), dtype=np.uint64)
 _FLIP, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
 
@@ -79,31 +84,112 @@ def set_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return prints
 
 
-def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``BANDS`` hashes of ``BAND_VALUES`` MinHash values for each set that is not empty."""
-    full = np.flatnonzero(counts)
-    starts = (np.cumsum(counts) - counts)[full]
-    keys = np.empty((len(full), BANDS), np.uint64)
-    for band in range(BANDS if len(full) else 0):
-        total = np.full(len(full), band + 1, np.uint64)
-        for i in range(band * BAND_VALUES, (band + 1) * BAND_VALUES):
-            total = mix(total + np.minimum.reduceat((hashes ^ _FLIP[i]) * _ODD[i], starts))
-        keys[:, band] = total
-    return keys
+def seeded_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``BANDS`` SimHash fingerprints of each set; the first is that of the hashes as they are."""
+    others = [set_fingerprints(mix((hashes ^ _FLIP[i]) * _ODD[i]), counts) for i in range(1, BANDS)]
+    return np.column_stack([set_fingerprints(hashes, counts), *others])
+
+
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """For each row of fingerprints its ``BLOCKS`` blocks, each with its number above its bits."""
+    blocks = np.ascontiguousarray(prints, "<i8").view("<u2").astype(np.int32)
+    return blocks | np.arange(BLOCKS, dtype=np.int32) << BLOCK_BITS
 
 
 def _prints(shingle_words: int):
-    """Rows ``(doc_id, text)`` to ``(doc_id, name, n, fp, bands)``."""
+    """Rows ``(doc_id, text)`` to ``(doc_id, name, n, fp, fp2, blocks)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
                 hashes, counts = shingle_sets(chunk, shingle_words)
-                ends = np.concatenate(([0], np.cumsum((counts > 0) * BANDS))).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(hashes, counts).ravel().view(np.int64)))
+                prints = seeded_fingerprints(hashes, counts)
+                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, BLOCKS * len(counts) + 1, BLOCKS, dtype=np.int32)), pa.array(block_keys(prints).ravel()))
                 ids = batch.column(0).slice(int(chunk.rows[0]), len(chunk.rows))
-                columns = [ids, pa.array(_set_names(hashes, counts)), pa.array(counts.astype(np.int32)), pa.array(set_fingerprints(hashes, counts)), bands]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n", "fp", "bands"])
+                columns = [ids, pa.array(_set_names(hashes, counts)), pa.array(counts.astype(np.int32)), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), blocks]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "name", "n", "fp", "fp2", "blocks"])
+
+    return run
+
+
+def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of ``root`` that links (a, b) connect, in place; every node then points at its least."""
+    while True:
+        one, other = root[a], root[b]
+        apart = one != other
+        if not apart.any():
+            return
+        a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+
+
+def near_members(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray, second: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows in the order of ``keys``, the first row of the same key that links of near fingerprints and like sizes reach.
+
+    Small groups are compared in full, all at once; a larger one stands in a :class:`GrayIndex`.
+    """
+    root, prints, second = np.arange(len(keys)), prints.view(np.uint64), second.view(np.uint64)
+    cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1, append=keys[-1:] + 1))
+    members = np.diff(cuts)
+
+    def join(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        near = (bits <= MAX_BITS) & (bits + np.bitwise_count(second[a] ^ second[b]) <= MAX_BITS_OF_TWO)
+        near &= (sizes[a] >= similarity * sizes[b] - 1e-9) & (sizes[b] >= similarity * sizes[a] - 1e-9)
+        _union(root, a[near], b[near])
+
+    left = np.repeat(np.where(members <= SCANNED, cuts[1:], cuts[:-1]), members)  # the end of a small group
+    a = np.arange(len(keys))
+    for step in range(1, SCANNED):
+        a = a[a + step < left[a]]
+        if not len(a):
+            break
+        join(a, a + step, np.bitwise_count(prints[a] ^ prints[a + step]))
+    for group in np.flatnonzero(members > SCANNED):
+        first, last = int(cuts[group]), int(cuts[group + 1])
+        index = GrayIndex(prints[first:last])
+        for at in range(first, last, _QUERIES_AT_ONCE):
+            number, other = index.within(prints[at : min(at + _QUERIES_AT_ONCE, last)], MAX_BITS)
+            a, b = number + at, other + first
+            a, b = a[a < b], b[a < b]
+            join(a, b, np.bitwise_count(prints[a] ^ prints[b]))
+    return root
+
+
+def _block_links(similarity: float):
+    """Rows ``(block, name, n, fp, fp2)`` in the order of blocks to ``(name, least)``: members that share a block and may be near copies.
+
+    ``least`` names one member for all that near fingerprints connect. More than ``HOT_BLOCK`` members of a block pass as they are, in a stream, and count as connected.
+    """
+
+    def told(names: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(least)], ["name", "least"])
+
+    def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(rows[0]):
+            root = near_members(rows[0], rows[2], rows[3], rows[4], similarity)
+            several = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+            yield told(rows[1][several], rows[1][root[several]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = [np.zeros(0, t) for t in (np.int32, np.int64, np.int32, np.int64, np.int64)], (-1, 0)
+        for batch in batches:
+            rows = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns, strict=True)]
+            ends = [0, *(np.flatnonzero(np.diff(rows[0])) + 1).tolist(), len(rows[0])]
+            crowds = [(a, b) for a, b in pairwise(ends) if b - a > HOT_BLOCK or (b > a and rows[0][a] == hot[0])]
+            at, last = 0, ends[-2]
+            for a, b in crowds:
+                yield from groups([c[at:a] for c in rows])
+                if rows[0][a] != hot[0]:
+                    hot = int(rows[0][a]), int(rows[1][a])
+                yield told(rows[1][a:b], np.full(b - a, hot[1]))
+                at = b
+            if at <= last:
+                yield from groups([c[at:last] for c in rows])
+                at = last
+            held = [c[at:] for c in rows]
+        yield from groups(held)
 
     return run
 
@@ -212,11 +298,11 @@ def _cell_links(similarity: float):
 
 
 def _cells(apart: DataFrame) -> DataFrame:
-    """``(cell, name, root, fp, asked)`` from members ``(key, name, n, fp, root, most)`` of bands in which several classes meet.
+    """``(cell, name, root, fp, asked)`` from members ``(key, name, n, fp, root, most)`` of units in which several classes meet.
 
-    Classes that share bands, directly or by others, are a group, dealt as one if it is of moderate size, so that a text is in it
-    once; larger groups are dealt by band. What is dealt is cut into cells
-    of bounded size: texts outside the band's largest class ask, in blocks; all
+    Units that share classes are a group, dealt as one if it is of moderate size, so that a text is in it
+    once; larger groups are dealt by key. What is dealt is cut into cells
+    of bounded size: texts outside the group's largest class ask, in blocks; all
     texts answer, in blocks; each pair of blocks is a cell.
     """
     classes = connected_components(apart.filter("root <> most").select(F.col("root").alias("a"), F.col("most").alias("b")).distinct())
@@ -251,26 +337,33 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``(doc_id, component_id)``: one row per document with an id, with the smallest doc_id that links of similar texts reach.
 
     Texts are linked if their sets of shingles, ``shingle_words`` words with A-Z as a-z, have the given
-    Jaccard similarity, 0.8 or more. Candidates share a band of MinHash values, so of pairs at 0.8 about 1 in
-    20,000 is not met, above it fewer, and their SimHash fingerprints, taken of the same sets,
-    differ in ``MAX_BITS`` bits or fewer (five deviations beyond the mean at 0.8). What is met is compared in full.
+    Jaccard similarity, 0.8 or more. Candidates come from SimHash fingerprints of the sets, of ``BANDS`` seeds: they share a
+    block of one of them, by which they are dealt out, so of pairs at 0.8 about 1 in 1,300 is not met (of sets of few shingles more),
+    above it fewer, and a Gray-order index finds those that differ in ``MAX_BITS`` bits or fewer in the first fingerprint and
+    ``MAX_BITS_OF_TWO`` in the first two (four deviations beyond the mean at 0.8). What is met is compared in full.
     Null, empty and wordless texts are one group; texts of fewer words than a shingle are one shingle.
 
-    Equal sets are one member whatever their number. Each band's members are compared with its least.
-    Classes still apart that meet in a band are then searched in cells of bounded
+    Equal sets are one member whatever their number. Members that near fingerprints connect are a unit, compared with its first and a few they
+    were linked to. Classes still apart in a unit are then searched in cells of bounded
     size through Gray-order indexes: one link joins two classes, and no
-    pair of members becomes a row, so rows grow with the members of a group.
+    pair of members becomes a row, so rows grow with the members of a unit.
     """
     if not SIMILARITY <= similarity <= 1:
         raise ValueError(f"similarity must be from {SIMILARITY} to 1: bands and fingerprints are laid out for that")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    prints = save(map_arrow(rows, _prints(shingle_words), "doc_id long, name long, n int, fp long, bands array<long>"), "shingle-prints")
-    groups = prints.groupBy("name").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    prints = save(map_arrow(rows, _prints(shingle_words), "doc_id long, name long, n int, fp long, fp2 long, blocks array<int>"), "shingle-prints")
+    groups = prints.groupBy("name").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("blocks").alias("blocks"))
     groups = save(groups, "shingle-sets")
-    bands = groups.select("name", "n", "fp", F.explode("bands").alias("key"))
-    crowded = bands.groupBy("key").agg(F.min(F.struct("name", "n", "fp")).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    crowded = save(crowded.select("key", "first"), "crowded-bands")
-    members = save(bands.join(crowded, "key"), "band-members")
+    # a set of n shingles is like another one only if n of n + 1 are enough
+    blocks = groups.filter(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9).select(F.explode("blocks").alias("block"), "name", "n", "fp", "fp2")
+    dealt = blocks.repartition("block").sortWithinPartitions("block")
+    # a member names one other for each block at most, whatever the group
+    met = map_arrow(dealt, _block_links(similarity), "name long, least long").groupBy("name").agg(F.collect_set("least").alias("least"))
+    met = save(met, "block-links")
+    units = connected_components(met.select(F.col("name").alias("a"), F.explode("least").alias("b")))
+    units = save(units.toDF("name", "key").join(groups, "name").select("key", "name", "n", "fp"), "unit-members")
+    firsts = units.groupBy("key").agg(F.min(F.struct("name", "n", "fp")).alias("first"))
+    members = save(units.join(firsts, "key"), "first-members")
     wanted = save(members.select("name").distinct().join(groups, "name").select(F.col("least").alias("doc_id"), "name"), "similar-wanted")
     shingles = map_arrow(sized_join(rows, wanted, ["doc_id"], staged=True).select("text", "name"), _shingles(shingle_words), "name long, shingles binary")
     shingles = save(shingles.dropDuplicates(["name"]), "shingles")
@@ -280,15 +373,17 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     few_bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= MAX_BITS
     pairs = members.filter((F.col("name") != F.col("first.name")) & alike(F.col("n"), F.col("first.n")) & few_bits)
-    pairs = save(pairs.select(F.col("first.name").alias("a"), F.col("name").alias("b")).distinct(), "least-pairs")
+    pairs = pairs.select(F.col("first.name").alias("a"), F.col("name").alias("b"))
+    some = met.select(F.explode(F.slice("least", 1, FIRST_LINKS)).alias("a"), F.col("name").alias("b")).filter("a <> b")
+    pairs = save(pairs.union(some).distinct(), "least-pairs")
     texts = pairs.join(shingles.toDF("a", "of_a"), "a").join(shingles.toDF("b", "of_b"), "b")
     links = map_arrow(texts.select("a", "b", "of_a", "of_b"), _compare(similarity), "a long, b long, near boolean")
     links = save(links.filter("near").select("a", "b"), "least-links")
     roots = connected_components(links)
     rooted = members.select("key", "name", "n", "fp").join(roots.withColumnRenamed("node", "name"), "name", "left")
     rooted = save(rooted.select("key", "name", "n", "fp", F.coalesce("root", "name").alias("root")), "rooted-members")
-    mixed = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
-    mixed = save(mixed.filter("roots > 1").select("key", "most"), "mixed-bands")
+    mixed = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("texts"))
+    mixed = save(mixed.filter("roots > 1 and texts > 2").select("key", "most"), "mixed-units")
     apart = save(rooted.join(mixed, "key"), "members-apart")
     if not mixed.isEmpty():
         cells = _cells(apart)
@@ -297,7 +392,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         across = save(map_arrow(dealt, _cell_links(similarity), "a long, b long"), "class-links")
         if not across.isEmpty():
             roots = connected_components(links.union(across))
-    drop_saved(members, shingles, rooted, apart)
+    drop_saved(met, units, members, shingles, rooted, apart)
 
     linked = roots.withColumnRenamed("node", "name").join(groups, "name").select("name", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
