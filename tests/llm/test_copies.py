@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from traitframe.llm import similar, simhash, spaced_seeds, suffix_levels
+from traitframe.llm import common, similar, simhash, spaced_seeds, suffix_levels
 from traitframe.llm.common import connected_components
 
 
@@ -87,6 +87,16 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    made, save = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, name: made.append(name) or save(df, name))
+    stars = spark.createDataFrame([(i, i % 2) for i in range(2, 40)] + [(5, 1), (1, 3)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(stars).collect()}
+    assert got == {i: i % 2 for i in range(40)} and made == ["edges"]
+    path = spark.createDataFrame([(3, 2), (2, 1), (3, 1), (9, 8), (9, 7)], "a long, b long")
+    assert {r.node: r.root for r in connected_components(path).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7}
+
+
 def removed(rows, span=50):
     seen, out = {}, {}
     for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -266,6 +276,24 @@ def test_dense_group_makes_rows_by_members_not_pairs(spark, monkeypatch):
     assert made["cells"].count() > 0
 
 
+def test_links_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """One link a member and some for the group, not one for each block a member shares with others."""
+    rng, links, components = np.random.default_rng(13), [], similar.connected_components
+    monkeypatch.setattr(similar, "connected_components", lambda edges: links.append(edges.filter("a <> b").distinct().count()) or components(edges))
+    words = [f"w{i}" for i in range(300)]
+    for n in (300, 600):
+        rows = []
+        for i in range(n):
+            text = list(words)
+            for at in rng.integers(0, len(words), 3):
+                text[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((i, " ".join(text)))
+        links.clear()
+        got = {r.doc_id: r.component_id for r in similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert got == matrix_groups(rows)[0]
+        assert n - 1 <= links[0] <= 6 * n
+
+
 def test_class_links_equal_all_pairs():
     rows = dense_group(np.random.default_rng(9), 60)
     sets = [np.sort(np.array([abs(hash(s)) for s in shingle_set(t)], np.uint64)) for _, t in rows]

@@ -360,7 +360,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # a member names one other for each block at most, whatever the group
     met = map_arrow(dealt, _block_links(similarity), "name long, least long").groupBy("name").agg(F.collect_set("least").alias("least"))
     met = save(met, "block-links")
-    units = connected_components(met.select(F.col("name").alias("a"), F.explode("least").alias("b")))
+    # a member and all it was linked to join the least of them: the same units, and in a large group the others are few, so links grow with members, not with their blocks
+    units = connected_components(met.select(F.explode(F.array_union("least", F.array("name"))).alias("a"), F.least(F.array_min("least"), "name").alias("b")))
     units = save(units.toDF("name", "key").join(groups, "name").select("key", "name", "n", "fp"), "unit-members")
     firsts = units.groupBy("key").agg(F.min(F.struct("name", "n", "fp")).alias("first"))
     members = save(units.join(firsts, "key"), "first-members")
