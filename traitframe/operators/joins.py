@@ -11,6 +11,16 @@ from traitframe.constants import BROADCAST_ROWS, SALTS
 from traitframe.session import stage
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A join side whose size is not known, marked so that Spark shuffles it.
+
+    Unmarked, Spark broadcasts what it takes for small, and it takes a saved
+    table for as large as its compressed files, and exploded rows for as large
+    as the rows before. Many times that would then go through the driver.
+    """
+    return side.hint("merge")
+
+
 def sized_join(
     big: DataFrame,
     small: DataFrame,
@@ -37,11 +47,11 @@ def sized_join(
     if small.count() <= max_rows:
         joined = big.join(F.broadcast(small), on, how)
     elif not salt_by:
-        joined = big.join(small, on, how)
+        joined = big.join(shuffled(small), on, how)
     else:
         salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
         salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted_big.join(salted_small, [*on, "_salt"], how).drop("_salt")
+        joined = salted_big.join(shuffled(salted_small), [*on, "_salt"], how).drop("_salt")
     return joined.select(*big.columns, *[c for c in joined.columns if c not in big.columns])
 
 
