@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traitframe.constants import BROADCAST_ROWS, ONEHOT_BITS, SALTS
 from traitframe.functions.genome import onehot_position, sequence_name, strand_matches
-from traitframe.operators.joins import one_per_key, require_rows, sized_join
+from traitframe.operators.joins import one_per_key, require_rows, shuffled, sized_join
 from traitframe.operators.positions import sorted_positions
 from traitframe.session import stage
 
@@ -41,7 +41,7 @@ def current_sites(sites: DataFrame, order: str = "line_no") -> DataFrame:
     """
     keys = sites.select("snp_id", order)
     last = keys.groupBy("snp_id").agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("snp_id", "_last")
-    old = stage(keys.join(last, "snp_id").where(F.col(order) < F.col("_last")).select("snp_id", order), "superseded")
+    old = stage(keys.join(shuffled(last), "snp_id").where(F.col(order) < F.col("_last")).select("snp_id", order), "superseded")
     return sites if old.isEmpty() else sized_join(sites, old, ["snp_id", order], "left_anti", salt_by=[order], staged=True)
 
 
@@ -111,7 +111,7 @@ def block_snp_lists(edges: DataFrame, index: DataFrame, chunk: int = LIST_CHUNK)
     never exceeds ``chunk`` entries however many SNPs a block has; the chunks of
     a block in order are its whole list.
     """
-    numbered = edges.join(index, "snp_id")
+    numbered = edges.join(shuffled(index), "snp_id")
     part = F.floor(F.col("snp_idx") / chunk).cast("bigint")
     return numbered.groupBy("block_id", part.alias("chunk")).agg(F.sort_array(F.collect_list("snp_idx")).alias("snp_idx"))
 
@@ -151,7 +151,7 @@ def onehot_sites(sites: DataFrame, samples: DataFrame, index: DataFrame, bits: i
 
 def onehot_sites_by_block(sites: DataFrame, samples: DataFrame, edges: DataFrame, index: DataFrame, bits: int = ONEHOT_BITS) -> DataFrame:
     """:func:`onehot_calls_by_block` from site rows."""
-    placed = sized_join(sites.select("snp_id", "codes"), edges.join(index, "snp_id"), ["snp_id"], salt_by=["snp_id"])
+    placed = sized_join(sites.select("snp_id", "codes"), edges.join(shuffled(index), "snp_id"), ["snp_id"], salt_by=["snp_id"])
     return _set_bits(placed, samples, ["block_id"], bits)
 
 
@@ -164,7 +164,7 @@ def onehot_calls(calls: DataFrame, index: DataFrame, bits: int = ONEHOT_BITS) ->
 
 def onehot_calls_by_block(calls: DataFrame, edges: DataFrame, index: DataFrame, bits: int = ONEHOT_BITS) -> DataFrame:
     """Set bits (ID, block_id, bit); ``bit`` keeps its place in the whole vector."""
-    placed = edges.join(index, "snp_id")
+    placed = edges.join(shuffled(index), "snp_id")
     numbered = sized_join(calls.where(F.col("code") > 0), placed, ["snp_id"], salt_by=["ID"])
     return numbered.select("ID", "block_id", onehot_position(F.col("snp_idx"), F.col("code"), bits).alias("bit"))
 
