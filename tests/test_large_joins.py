@@ -13,6 +13,7 @@ from traitframe.operators import genotypes, joins
 
 NAMES = [
     "j4_snp_gene",
+    "s3_genotype_scan",
     "s14_site_store",
     "m3_block_embed",
     "m3_block_embed_calls",
