@@ -9,6 +9,7 @@ from pyspark.sql.readwriter import DataFrameWriter
 
 from __spark_entry__ import queries
 from traitframe.constants import BROADCAST_ROWS, SALTS
+from traitframe.llm.similar import keep_one_per_similar_group
 from traitframe.operators import genotypes, joins
 
 NAMES = [
@@ -70,3 +71,16 @@ def test_every_join_says_how(spark, tables, written, monkeypatch, name):
     found = joins_of(queries()[name](spark, tables)) + written
     assert found
     assert [x for x in found if "strategy=" not in x] == []
+
+
+def test_near_copies_say_how(spark, written, monkeypatch):
+    """Stage 2 of the pipeline, with units of several classes and ids that come twice."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:k] + [f"x{k}y{g}"] + words[k + 1 :] if k else [*words, f"z{g}"]) for g in range(3) for k in range(0, 60, 2)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (500, "alone"), (None, "none")], "doc_id long, text string")
+    monkeypatch.setattr(joins.sized_join, "__defaults__", tuple({BROADCAST_ROWS: 0, SALTS: 2}.get(x, x) if type(x) is int else x for x in joins.sized_join.__defaults__))
+    kept = keep_one_per_similar_group(docs)
+    found = joins_of(kept) + written
+    assert len(found) > 10
+    assert [x for x in found if "strategy=" not in x] == []
+    assert {r["doc_id"] for r in kept.collect()} >= {0, 500, None}

@@ -229,6 +229,6 @@ def keep_least_ids(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", te
     repeated = save(ids.filter("_id = _least and _n > 1").select("_id"), "repeated-ids")
     if not repeated.isEmpty():
         first = Window.partitionBy("_id").orderBy("_text")
-        several = kept.join(repeated, "_id", "left_semi").withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
-        kept = kept.join(repeated, "_id", "left_anti").unionByName(several)
+        several = sized_join(kept, repeated, ["_id"], "left_semi", staged=True).withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
+        kept = sized_join(kept, repeated, ["_id"], "left_anti", staged=True).unionByName(several)
     return kept.unionByName(keyed.filter("_id is null")).select("row.*")

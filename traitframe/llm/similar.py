@@ -14,7 +14,7 @@ from traitframe.llm.common import connected_components, drop_saved, map_arrow, s
 from traitframe.llm.simhash import GrayIndex, keep_least_ids
 from traitframe.llm.spaced_seeds import seed_hashes
 from traitframe.llm.words import Texts, mix, text_chunks, words_of
-from traitframe.operators.joins import sized_join
+from traitframe.operators.joins import shuffled, sized_join
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -306,7 +306,7 @@ def _cells(apart: DataFrame) -> DataFrame:
     texts answer, in blocks; each pair of blocks is a cell.
     """
     classes = connected_components(apart.filter("root <> most").select(F.col("root").alias("a"), F.col("most").alias("b")).distinct())
-    inside = apart.join(classes.select(F.col("node").alias("root"), F.col("root").alias("unit")), "root")
+    inside = sized_join(apart, classes.select(F.col("node").alias("root"), F.col("root").alias("unit")), ["root"], salt_by=["name"])
     texts = save(inside.groupBy("unit", "name").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("fp").alias("fp")), "group-texts")
     sizes = texts.groupBy("unit").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
     small = save(sizes.select("unit", ((F.col("texts") <= GROUP_TEXTS) & (F.col("shingles") <= GROUP_SHINGLES)).alias("small")), "group-sizes")
@@ -362,10 +362,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     met = save(met, "block-links")
     # a member and all it was linked to join the least of them: the same units, and in a large group the others are few, so links grow with members, not with their blocks
     units = connected_components(met.select(F.explode(F.array_union("least", F.array("name"))).alias("a"), F.least(F.array_min("least"), "name").alias("b")))
-    units = save(units.toDF("name", "key").join(groups, "name").select("key", "name", "n", "fp"), "unit-members")
+    units = save(units.toDF("name", "key").join(shuffled(groups), "name").select("key", "name", "n", "fp"), "unit-members")
     firsts = units.groupBy("key").agg(F.min(F.struct("name", "n", "fp")).alias("first"))
-    members = save(units.join(firsts, "key"), "first-members")
-    wanted = save(members.select("name").distinct().join(groups, "name").select(F.col("least").alias("doc_id"), "name"), "similar-wanted")
+    members = save(sized_join(units, firsts, ["key"], salt_by=["name"]), "first-members")
+    wanted = save(members.select("name").distinct().join(shuffled(groups), "name").select(F.col("least").alias("doc_id"), "name"), "similar-wanted")
     shingles = map_arrow(sized_join(rows, wanted, ["doc_id"], staged=True).select("text", "name"), _shingles(shingle_words), "name long, shingles binary")
     shingles = save(shingles.dropDuplicates(["name"]), "shingles")
 
@@ -377,28 +377,28 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = pairs.select(F.col("first.name").alias("a"), F.col("name").alias("b"))
     some = met.select(F.explode(F.slice("least", 1, FIRST_LINKS)).alias("a"), F.col("name").alias("b")).filter("a <> b")
     pairs = save(pairs.union(some).distinct(), "least-pairs")
-    texts = pairs.join(shingles.toDF("a", "of_a"), "a").join(shingles.toDF("b", "of_b"), "b")
+    texts = pairs.join(shuffled(shingles.toDF("a", "of_a")), "a").join(shuffled(shingles.toDF("b", "of_b")), "b")
     links = map_arrow(texts.select("a", "b", "of_a", "of_b"), _compare(similarity), "a long, b long, near boolean")
     links = save(links.filter("near").select("a", "b"), "least-links")
     roots = connected_components(links)
-    rooted = members.select("key", "name", "n", "fp").join(roots.withColumnRenamed("node", "name"), "name", "left")
+    rooted = members.select("key", "name", "n", "fp").join(shuffled(roots.withColumnRenamed("node", "name")), "name", "left")
     rooted = save(rooted.select("key", "name", "n", "fp", F.coalesce("root", "name").alias("root")), "rooted-members")
     mixed = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("texts"))
     mixed = save(mixed.filter("roots > 1 and texts > 2").select("key", "most"), "mixed-units")
-    apart = save(rooted.join(mixed, "key"), "members-apart")
+    apart = save(sized_join(rooted, mixed, ["key"], salt_by=["name"], staged=True), "members-apart")
     if not mixed.isEmpty():
         cells = _cells(apart)
-        dealt = cells.join(shingles, "name").select("cell", "name", "root", "fp", "asked", "shingles")
+        dealt = cells.join(shuffled(shingles), "name").select("cell", "name", "root", "fp", "asked", "shingles")
         dealt = dealt.repartition("cell").sortWithinPartitions("cell")
         across = save(map_arrow(dealt, _cell_links(similarity), "a long, b long"), "class-links")
         if not across.isEmpty():
             roots = connected_components(links.union(across))
     drop_saved(met, units, members, shingles, rooted, apart)
 
-    linked = roots.withColumnRenamed("node", "name").join(groups, "name").select("name", "root", "least")
+    linked = roots.withColumnRenamed("node", "name").join(shuffled(groups), "name").select("name", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("name", "component_id")
-    same = groups.filter("copies > 1").join(linked, "name", "left_anti").select("name", F.col("least").alias("component_id"))
+    linked = sized_join(linked, least, ["root"], salt_by=["name"]).select("name", "component_id")
+    same = groups.filter("copies > 1").join(shuffled(linked), "name", "left_anti").select("name", F.col("least").alias("component_id"))
     named = save(linked.union(same), "similar-components")
     out = sized_join(prints.select("doc_id", "name"), named, ["name"], "left", salt_by=["doc_id"], staged=True)
     return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
