@@ -14,6 +14,7 @@ from traitframe.operators import genotypes, joins
 
 NAMES = [
     "j4_snp_gene",
+    "m2_joint_block_weights",
     "s12_block_embedding_writer",
     "p9_onehot_by_gene",
     "m2_block_weight_fit",
